@@ -76,8 +76,7 @@ def deduplicated(rows: DataFrame, pairs: DataFrame, key: str = "row_id", title:
 
 def dedup_summary(before: DataFrame, after: DataFrame, cluster: str = "Cluster") -> DataFrame:
     """(Cluster, Before, After, Removed, Pct_Removed); the percentage is null where there was nothing before."""
-    b = before.groupBy(cluster).agg(F.count("*").alias("Before"))
-    a = after.groupBy(cluster).agg(F.count("*").alias("After"))
-    both = b.join(a, b[cluster].eqNullSafe(a[cluster]), "full_outer").select(F.coalesce(b[cluster], a[cluster]).alias(cluster), "Before", "After").na.fill(0, ["Before", "After"])
+    tagged = before.select(cluster, F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(after.select(cluster, F.lit(0).alias("b"), F.lit(1).alias("a")))
+    both = tagged.groupBy(cluster).agg(F.sum("b").alias("Before"), F.sum("a").alias("After"))
     removed = F.col("Before") - F.col("After")
     return both.select(cluster, "Before", "After", removed.alias("Removed"), F.round(100.0 * removed / F.nullif(F.col("Before"), F.lit(0)), 2).alias("Pct_Removed"))
