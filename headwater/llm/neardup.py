@@ -31,7 +31,7 @@ from headwater.llm.grouping import connected_groups
 from headwater.plans.lineage import cut, spread, stage
 
 SLOTS = 1 << 20  # of the frequency table; words are hashed into it, so its size is fixed
-HOT = 1000  # expected members of a bucket beyond which its signature takes another word
+HOT = 3000  # expected members of a bucket beyond which its signature takes another word
 LONG = 300  # distinct words from which prefixes are too long to enumerate subsets of
 ENTRY = np.dtype([("sig", "<u4"), ("b1", "<u8"), ("b2", "<u8"), ("x", "<u4"), ("n", "<u4")])
 _known: dict[str, int] = {}
@@ -59,14 +59,15 @@ def word_sets(texts: list[list], least: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def identities(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two parity sketches and a check word for every set; together they identify it."""
+    """Parity sketches of the two halves of the domain and a check word for every set; together they identify it."""
     if not len(sizes):
         return tuple(np.zeros(0, dtype=np.uint64) for _ in range(3))
     start = np.cumsum(sizes) - sizes
     one = np.uint64(1)
     xor = lambda v: np.bitwise_xor.reduceat(v, start)
-    b1 = xor(one << (hashes & np.uint64(63)))
-    b2 = xor(one << ((hashes >> np.uint64(6)) & np.uint64(63)))
+    bit, second = one << (hashes & np.uint64(63)), (hashes >> np.uint64(6) & one).astype(bool)
+    b1 = xor(np.where(second, np.uint64(0), bit))
+    b2 = xor(np.where(second, bit, np.uint64(0)))
     x = xor(hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32))
     return b1, b2, x
 
@@ -171,8 +172,8 @@ def compare(e: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]
         near = np.flatnonzero(np.bitwise_count(b1[i] ^ b1[j]) <= limit)
         if len(near):
             a, b = i[near], j[near]
-            near = np.bitwise_count(b1[a] ^ b1[b]).astype(np.int64) <= limit[near]
-            near &= np.bitwise_count(b2[a] ^ b2[b]) <= allowed[size[a] + size[b]]
+            apart = np.bitwise_count(b1[a] ^ b1[b]).astype(np.int64) + np.bitwise_count(b2[a] ^ b2[b])
+            near = apart <= limit[near]
             low.append(a[near])
             high.append(b[near])
         d += 1
