@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from headwater.functions.words import WORD
 from headwater.llm.grouping import connected_groups
-from headwater.plans.lineage import cut, spread
+from headwater.plans.joins import small_side
+from headwater.plans.lineage import cut, spread, stage
 
 SENTENCE = re.compile(r"[.!?;:]\s")
 MIN_SHARE, MIN_POSTS = 0.001, 4
@@ -123,17 +124,25 @@ def together(df: DataFrame, key: str, fields: list[str], words: list[str]) -> pd
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOGETHER)
 
 
-def word_graph(pairs: pd.DataFrame, posts: np.ndarray, total: int) -> pd.DataFrame:
-    """(a, b, w) with w the lift of two words, where it is no accident and near the best either word has."""
-    a, b, n = pairs.a.to_numpy(), pairs.b.to_numpy(), pairs.n.to_numpy().astype(float)
-    # what two words of no connection have: pairs within sentences do not count, so it is below 1
-    usual = n.sum() * total / max(float((posts.sum() ** 2 - (posts**2).sum()) / 2), 1.0)
-    lift = n * total / (posts[a] * posts[b]) / usual
-    chance = posts[a] * posts[b] / total * usual
-    sure = (lift >= MIN_LIFT) & ((n - chance) / np.sqrt(chance) >= MIN_Z)
-    a, b, lift = a[sure], b[sure], lift[sure]
-    # the level of a word: the mean of its strongest edges
-    ends, level = np.concatenate([a, b]), np.ones(len(posts))
+def sure_edges(pairs: DataFrame, words: DataFrame, total: int, usual: float) -> DataFrame:
+    """(a, b, lift) of the pairs that are together more often than chance has it, beyond doubt.
+
+    ``words`` (k, posts) is the vocabulary; ``usual`` is what two words of no connection have (pairs within a
+    sentence do not count, so it is below 1).
+    """
+    one = words.select(F.col("k").alias("a"), F.col("posts").alias("pa"))
+    two = words.select(F.col("k").alias("b"), F.col("posts").alias("pb"))
+    chance = F.col("pa") * F.col("pb") / F.lit(float(max(total, 1))) * F.lit(usual)
+    rated = pairs.join(small_side(one), "a").join(small_side(two), "b").select("a", "b", "n", chance.alias("chance"))
+    lift = F.col("n") / F.col("chance")
+    return rated.where((lift >= MIN_LIFT) & ((F.col("n") - F.col("chance")) / F.sqrt("chance") >= MIN_Z)).select("a", "b", lift.alias("lift"))
+
+
+def word_graph(sure: pd.DataFrame, size: int) -> pd.DataFrame:
+    """(a, b, w): of the sure edges (a, b, lift) those near the best either word has, with the logarithm as weight."""
+    a, b, lift = sure.a.to_numpy(), sure.b.to_numpy(), sure.lift.to_numpy()
+    # the level of a word: the median of its strongest edges
+    ends, level = np.concatenate([a, b]), np.ones(size)
     values = np.concatenate([lift, lift])
     order = np.lexsort((-values, ends))
     ends, values = ends[order], values[order]
@@ -187,8 +196,11 @@ def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = M
     empty = {"words": words, "member": np.full(len(words), -1), "affinity": np.zeros((len(words), 0), dtype=np.float32), "cores": []}
     if not words:
         return empty
-    pairs = together(df, key, fields, words).toPandas()
-    graph = word_graph(pairs, posts, total)
+    pairs = stage(together(df, key, fields, words))
+    all_pairs = float(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    usual = all_pairs * total / max(float((posts.sum() ** 2 - (posts**2).sum()) / 2), 1.0)
+    listed = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(words), dtype=np.int32), "posts": posts}), "k int, posts double")
+    graph = word_graph(sure_edges(pairs, listed, total, usual).toPandas(), len(words))
     if not len(graph):
         return empty
     flow = markov_clusters(spark.createDataFrame(graph, "a int, b int, w double"), inflation)
@@ -199,27 +211,30 @@ def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = M
     groups = connected_groups(links)
     found = best.join(groups, F.col("j") == F.col("row_id"), "left").select("j", F.coalesce("group_id", "j").alias("cluster"), "v").toPandas()
 
-    a, b, n = pairs.a.to_numpy(), pairs.b.to_numpy(), pairs.n.to_numpy().astype(float)
-    usual = n.sum() * total / max(float((posts.sum() ** 2 - (posts**2).sum()) / 2), 1.0)
     system = np.full(len(words), -1)
     system[found.j.to_numpy()] = found.cluster.to_numpy()
+    # how often each word is together with the words of each attractor system: at most words x systems sums
+    of = spark.createDataFrame(pd.DataFrame({"k": np.flatnonzero(system >= 0).astype(np.int32), "c": system[system >= 0].astype(np.int32)}), "k int, c int")
+    of = small_side(of)
+    both = pairs.select("a", "b", "n").unionAll(pairs.select("b", "a", "n"))
+    sums = both.join(of, both.b == of.k).groupBy("a", "c").agg(F.sum("n").alias("n"))
     names, sizes = np.unique(system[system >= 0], return_counts=True)
+    large = [int(c) for c in names[sizes >= MIN_WORDS]]
+    sums = sums.where(F.col("c").isin(large)).toPandas() if large else pd.DataFrame({"a": [], "c": [], "n": []}).astype(int)
     # a theme has many words, and they lift each other; set phrases and chance do not
     keep = []
-    inside = (system[a] == system[b]) & (system[a] >= 0)
-    for c in names[sizes >= MIN_WORDS]:
-        own = inside & (system[a] == c)
+    own = sums[system[sums.a.to_numpy()] == sums.c.to_numpy()].groupby("c").n.sum() / 2
+    for c in large:
         k = posts[system == c]
         chance = (k.sum() ** 2 - (k**2).sum()) / 2 / total * usual
-        if n[own].sum() / max(chance, 1e-9) >= MIN_LEVEL:
+        if own.get(c, 0) / max(chance, 1e-9) >= MIN_LEVEL:
             keep.append((-k.sum(), c))
     keep = [c for _, c in sorted(keep)]
     number = {c: k for k, c in enumerate(keep)}
     member = np.array([number.get(c, -1) for c in system])
     count = np.zeros((len(words), len(keep)))
-    for x, y in ((a, b), (b, a)):
-        known = member[y] >= 0
-        np.add.at(count, (x[known], member[y][known]), n[known])
+    sums = sums[sums.c.isin(keep)]
+    count[sums.a.to_numpy(), sums.c.map(number).to_numpy(dtype=np.int64)] = sums.n.to_numpy()
     mass = np.array([posts[member == k].sum() for k in range(len(keep))])
     expected = posts[:, None] / total * usual * (mass[None, :] - np.where(member[:, None] == np.arange(len(keep))[None, :], posts[:, None], 0.0))
     affinity = np.log((count + 1.0) / (expected + 1.0)).clip(*CLIP).astype(np.float32)
