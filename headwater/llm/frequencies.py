@@ -98,7 +98,8 @@ def ngram_counts(df: DataFrame, text: str, depth: int = 1, only: DataFrame | Non
                     if listed is not None:
                         keep = np.array([t in listed for t in terms], dtype=bool)
                         terms, count, docs = [t for t in terms if t in listed], count[keep], docs[keep]
-                yield pd.DataFrame({"term": terms, "n": np.int32(d), "occurrences": count, "records": docs})
+                if terms:  # an empty column would have no type
+                    yield pd.DataFrame({"term": terms, "n": np.int32(d), "occurrences": count, "records": docs})
 
         for batch in batches:
             for t in batch["t"]:
