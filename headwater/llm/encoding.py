@@ -247,7 +247,9 @@ def analyse(text: str | None) -> tuple[bool, str | None, float, float, str]:
     if not words:
         return lost, text, 0.0, 0.0, ""
     before, after, new, path = search(words)
-    better = before - after >= MARGIN and after < 0.8 * before
+    changed = [(word_cost(w), word_cost(n)) for w, n in zip(words, new, strict=True) if w != n]
+    was, is_ = sum(w for w, _ in changed), sum(n for _, n in changed)
+    better = was - is_ >= MARGIN and is_ < 0.8 * was
     if not better:
         return lost, text, before, before, ""
     mended = dict(zip(words, new, strict=True))

@@ -125,6 +125,8 @@ def test_kinds_of_garbling():
     assert encoding.analyse("новый мост закрыли вчера вечером".encode("cp1251").decode("latin-1"))[:2] == (True, "новый мост закрыли вчера вечером")
     assert encoding.analyse("новый мост закрыли вчера вечером".encode("koi8-r").decode("cp1251"))[:2] == (True, "новый мост закрыли вчера вечером")
     assert encoding.analyse("B�ck")[0] and encoding.analyse("????? 12 ???????? Selun")[0] and not encoding.analyse("Really?? Yes")[0]
+    russian = "Новый маршрут про парковка " * 12
+    assert encoding.analyse(russian + "â€” мост")[:2] == (True, russian + "— мост") and not encoding.analyse(russian)[0]
     assert encoding.analyse("half Ã¶ and half ö")[1] == "half ö and half ö"
     assert not encoding.analyse("Tom &amp; Ann")[0] and not encoding.analyse("RACIONÓ LA SÓLIDA ÁGUA ÃO")[0]
 
