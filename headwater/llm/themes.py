@@ -33,10 +33,10 @@ from headwater.plans.lineage import cut, spread, stage
 
 SENTENCE = re.compile(r"[.!?;:]\s")
 MIN_SHARE, MIN_POSTS = 0.001, 4
-DENSE = 5000  # vocabulary up to which pairs are counted in a dense matrix of that side per task
+DENSE, HELD = 5000, 8_000_000  # vocabulary up to which pairs are counted in a dense matrix per task; pairs held between additions
 INFLATION, PRUNE, KEEP, ROUNDS, STILL = 2.0, 1e-3, 60, 30, 1e-3
-MIN_LIFT, MIN_TOGETHER, MIN_Z, TOP, NEAR = 2.0, 4, 5.0, 15, 0.45
-MIN_WORDS, MIN_LEVEL, CLIP = 15, 3.0, (np.log(0.02), np.log(500.0))
+MIN_LIFT, MIN_TOGETHER, MIN_Z, TOP, NEAR = 1.5, 4, 5.0, 15, 0.45
+MIN_WORDS, MIN_LEVEL, CLIP = 15, 2.2, (np.log(0.02), np.log(500.0))
 
 
 def _post_words(batch: pd.DataFrame, fields: int) -> Iterator[dict[str, int]]:
@@ -90,7 +90,8 @@ def together(df: DataFrame, key: str, fields: list[str], words: list[str]) -> pd
     size = len(words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dense = np.zeros(size * size, dtype=np.int32) if size <= DENSE else None
+        dense = np.zeros(size * size, dtype=np.int64) if size <= DENSE else None
+        waiting, held = [], 0
         for b in batches:
             ids, where, lengths = [], [], []
             for found in _post_words(b, len(fields)):
@@ -108,7 +109,11 @@ def together(df: DataFrame, key: str, fields: list[str], words: list[str]) -> pd
                 apart = several[at] | (where[at] != where[at + d])
                 codes = (flat[at] * size + flat[at + d])[apart]
                 if dense is not None:
-                    np.add.at(dense, codes, 1)
+                    waiting.append(codes.astype(np.int32))
+                    held += len(codes)
+                    if held >= HELD:
+                        dense += np.bincount(np.concatenate(waiting), minlength=size * size)
+                        waiting, held = [], 0
                 else:
                     sparse.append(codes)
                 d += 1
@@ -117,8 +122,10 @@ def together(df: DataFrame, key: str, fields: list[str], words: list[str]) -> pd
                 codes, c = np.unique(np.concatenate(sparse), return_counts=True)
                 yield pd.DataFrame({"a": codes // size, "b": codes % size, "n": c})
         if dense is not None:
+            if waiting:
+                dense += np.bincount(np.concatenate(waiting), minlength=size * size)
             codes = np.flatnonzero(dense)
-            yield pd.DataFrame({"a": codes // size, "b": codes % size, "n": dense[codes].astype(np.int64)})
+            yield pd.DataFrame({"a": codes // size, "b": codes % size, "n": dense[codes]})
 
     pairs = _texts(df, key, fields).mapInPandas(scan, "a int, b int, n long")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOGETHER)
@@ -320,7 +327,7 @@ def theme_report(assigned: DataFrame, key: str, model: dict, typical: int = 5) -
 
 def same_theme(assigned: DataFrame, pairs: DataFrame, key: str, i: str = "i", j: str = "j") -> DataFrame:
     """The rows of ``pairs`` (i, j) whose two posts are in one cluster; a post in none shares it with nobody."""
-    known = assigned.where("cluster is not null").select(F.col(key).alias("id"), "cluster")
+    known = cut(assigned.where("cluster is not null").select(F.col(key).alias("id"), "cluster"))  # read twice, made once
     first = known.select(F.col("id").alias(i), F.col("cluster").alias("ci"))
     second = known.select(F.col("id").alias(j), F.col("cluster").alias("cj"))
     return pairs.select(i, j).join(first, i).join(second, j).where("ci = cj").select(i, j)
