@@ -317,6 +317,7 @@ def themes(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SH
 def theme_report(assigned: DataFrame, key: str, model: dict, typical: int = 5) -> DataFrame:
     """One row per cluster: cluster, size, its first words, and the ``typical`` posts with the strongest flow."""
     spark = assigned.sparkSession
+    assigned = cut(assigned)  # read twice, made once
     w = Window.partitionBy("cluster").orderBy(F.desc("flow"), F.desc("words"), key)
     sizes = assigned.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("size"))
     ranked = assigned.where("cluster is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)
