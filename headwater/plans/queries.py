@@ -242,6 +242,19 @@ def narratives(spark: SparkSession, d: str) -> DataFrame:
     return narration.narrate(texts, lambda prompt: prompt.rsplit("\n\n", 1)[-1])
 
 
+def takeaways(spark: SparkSession, d: str) -> DataFrame:
+    """Takeaways of an offline narrator that repeats the first line of every section of the prompt."""
+    df = posts(spark, d).where("Cluster is not null")
+    named = names(df)
+    told = named.select("Cluster", F.col("Narrative").alias("summary"))
+    prompt = narration.takeaways_prompt(
+        told, volumes.narrative_volumes(df, named), volumes.top_posters(df), volumes.top_posters(df, "Engagement"), volumes.authors_by_theme(df, named), volumes.timeline(df)
+    )
+    reply = narration.ask(lambda p: "\n".join("- " + section.split("\n")[1] for section in p.split("\n\n")[1:]), prompt)
+    bullets = spark.createDataFrame([(reply,)], "reply string").select(F.explode(narration.parse_bullets(F.col("reply"))).alias("takeaway"))
+    return bullets
+
+
 def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
     return spread(_normed(spark, d)).select("row_id", "Cluster", providers.sentiment(F.col("_text_norm")).alias("Sentiment"))
 
@@ -275,7 +288,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         top_posters_engagement, engagement_total, top_authors_by_theme, author_theme_table, fingerprint, normalize_text, first_sentences,
         display_labels, hover_texts, embedding_texts, token_counts, tfidf_terms, cluster_terms, kwic_search, kwic_counts, kwic_cooccurrence,
         central_posts, near_dup_pairs, dup_groups, deduplicated, dedup_summary, kmeans_clusters, projection, embeddings, extractive_summary,
-        narratives, sentiment_scores, sentiment_by_cluster, likes_by_cluster, entities, top_entities, prompt_lines,
+        narratives, takeaways, sentiment_scores, sentiment_by_cluster, likes_by_cluster, entities, top_entities, prompt_lines,
     )
     return {f.__name__: f for f in named}
 
