@@ -379,7 +379,8 @@ def oracle_sql() -> dict[str, str]:
         "token_counts": f"select token, count(*) as n from (select unnest(string_split_regex(lower({_norm('Title', 'Snippet')}), '{X.NOT_WORD}')) as token from clean) where regexp_full_match(token, '[a-z0-9]{{3,}}') and token not in ({STOPS}) group by token",
         "tfidf_terms": f"with {SCORES} select Cluster, cast(rank as integer) as rank, term, round(score, 7) as score from ranked where rank <= 12",
         "cluster_terms": f"with {SCORES} select Cluster, string_agg(term, ', ' order by rank) as TopTerms from ranked where rank <= 12 group by Cluster",
-        "kwic_counts": f"with {POSTS} select Cluster, cast(sum(len(regexp_extract_all(lower({_norm('Title', 'Snippet')}), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:council|market|agency)\\b'))) as bigint) as KWIC_Matches from known group by Cluster having KWIC_Matches > 0",
+        "kwic_counts": f"""with {POSTS}, w as (select Cluster, unnest(string_split_regex(lower({_norm('Title', 'Snippet')}), '{X.NOT_WORD}')) as word from known)
+select Cluster, count(*) as KWIC_Matches from w where word in ('council', 'market', 'agency') group by Cluster""",
         "central_posts": """with m as (select label, list(x order by pos) as centroid from (select label, pos, avg(x) as x from (select label, unnest(embedding::double[]) as x, unnest(range(1, len(embedding) + 1)) as pos from embeddings) group by label, pos) group by label),
 s as (select label as Cluster, vec_id as row_id, round(list_dot_product(centroid, embedding::double[]), 6) as score from embeddings join m using (label))
 select Cluster, cast(row_number() over (partition by Cluster order by score desc, row_id desc) as integer) as rank, row_id, round(score, 4) as score from s qualify rank <= 5""",
