@@ -5,7 +5,7 @@ mapping for widths, styles, compositions, ligatures, special spaces, invisible m
 The mapping is built once per process from the Unicode tables, checked for conflicts (an input with two
 outputs, an output that is itself an input), and compiled into one longest-match expression.
 
-Scale: one narrow pass, no shuffle; a JVM-side pattern keeps texts without any special character out of Python.
+Scale: one narrow pass, no shuffle; texts without any special character cost one search for its class.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ SPACES = "               　"
 EAST_ASIAN = ("ja", "zh", "ko")
 CYRILLIC_LANGS = ("ru", "uk", "bg", "sr", "be", "mk")
 
-EMOJI = "[\u2190-\u21ff\u2300-\u23ff\u2460-\u24ff\u25a0-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff#*0-9\u00a9\u00ae\u2122\u203c\u2049\u2139]"
+EMOJI = "[\u2190-\u21ff\u2300-\u23ff\u2460-\u24ff\u25a0-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff\u00a9\u00ae\u2122\u203c\u2049\u2139]"
 MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿゙゚"
-# what can need the transducer at all (Java and Python read this class alike)
+# what can need the transducer at all
 SPECIAL = (
     "[ ­̀-ͯͰ-ϿЀ-ԯ؜ᅟᅠ ឴឵᠎᪰-᫿"
     "ᴀ-ᵿ᷀-᷿ -‏‪-  -⁤⁦-⁩⃐-⃿℀-⅏"
@@ -41,6 +41,9 @@ SPECIAL = (
 )
 
 
+SPECIAL_RE, MARKS_RE = re.compile(SPECIAL), re.compile(f"[{MARKS}]")
+
+
 def _styled() -> dict[str, str]:
     """Letters and digits in other widths and styles, from their compatibility decompositions."""
     out = {}
@@ -84,7 +87,7 @@ def look_mapping() -> dict[str, str]:
 
 
 @lru_cache(maxsize=None)
-def _transducer(lang: str) -> tuple[re.Pattern, dict]:
+def _transducer(lang: str, marks: bool) -> tuple[re.Pattern, dict]:
     """Longest match first: emoji sequences (kept), composed clusters, words with foreign letters, single characters."""
     table = dict(mapping())
     if lang in EAST_ASIAN:
@@ -96,11 +99,13 @@ def _transducer(lang: str) -> tuple[re.Pattern, dict]:
         spaced = "(?P<usual>[  ](?=[;:!?»%€])|(?<=«)[  ])|"
     else:
         spaced = ""
-    emoji = f"(?P<emoji>{EMOJI}[\ufe0e\ufe0f]?[\U0001f3fb-\U0001f3ff]?\u20e3?(?:\u200d{EMOJI}[\ufe0e\ufe0f]?[\U0001f3fb-\U0001f3ff]?)*)|"
+    keycap = "[#*0-9]️?⃣"
+    emoji = f"(?P<emoji>{keycap}|{EMOJI}[︎️]?[\U0001f3fb-\U0001f3ff]?(?:‍{EMOJI}[︎️]?[\U0001f3fb-\U0001f3ff]?)*)|"
     hidden = "".join(re.escape(c) for c in INVISIBLE)
-    cluster = f"(?P<cluster>[^\\W\\d_](?:[{hidden}]*[{MARKS}])+)|"
+    # letters start a cluster, so this alternative is tried at every letter: only for texts with marks
+    cluster = f"(?P<cluster>[^\\W\\d_](?:[{hidden}]*[{MARKS}])+)|" if marks else "(?P<cluster>(?!))|"
     singles = "".join(re.escape(c) for c in table)
-    return re.compile(f"{emoji}{spaced}{cluster}(?P<one>[{singles}]+)"), table
+    return re.compile(f"{emoji}{spaced}{cluster}(?P<one>[{singles}]{"" if marks else "+"})"), table
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -134,7 +139,9 @@ def _word(word: str, lang: str) -> str:
 def transduce(text: str, lang: str | None = None) -> str:
     """The text in its one form. Emoji, the language's own script, spaces and signs stay as they are."""
     lang = lang or ""
-    pattern, table = _transducer(lang)
+    if not SPECIAL_RE.search(text):
+        return text
+    pattern, table = _transducer(lang, MARKS_RE.search(text) is not None)
 
     def replace(m: re.Match) -> str:
         if (one := m.group("one")) is not None:
@@ -158,8 +165,7 @@ def one_form(text: Column, lang: Column) -> Column:
     def apply(texts: pd.Series, langs: pd.Series) -> pd.Series:
         return pd.Series([transduce(t, g if isinstance(g, str) else "") if isinstance(t, str) else None for t, g in zip(texts, langs, strict=True)], dtype=object)
 
-    needed = text.rlike(SPECIAL)
-    return F.when(needed, F.pandas_udf(apply, "string")(F.when(needed, text), lang)).otherwise(text)
+    return F.pandas_udf(apply, "string")(text, lang)
 
 
 def normalize_look(df: DataFrame, text: str = "text", lang: str = "lang", out: str = "text_one_form") -> DataFrame:
