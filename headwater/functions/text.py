@@ -96,11 +96,19 @@ def summary_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+def term_words(c: Column) -> Column:
+    """Lower-case words of at least two characters without stop words."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD), lambda t: (F.length(t) >= 2) & ~t.isin(*sorted(STOP_WORDS)))
+
+
+def with_pairs(words: Column) -> Column:
+    """The words and the pairs of neighbours. Used on a column of its own, so that the words are made once."""
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+
+
 def term_tokens(c: Column) -> Column:
-    """Lower-case words of at least two characters without stop words, and the pairs of neighbours then left."""
-    one = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD), lambda t: (F.length(t) >= 2) & ~t.isin(*sorted(STOP_WORDS)))
-    two = F.when(F.size(one) > 1, F.zip_with(F.slice(one, 1, F.size(one) - 1), F.slice(one, 2, F.size(one) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    return F.concat(one, F.coalesce(two, F.array().cast("array<string>")))
+    return with_pairs(term_words(c))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwater.functions.text import normalized, term_tokens
+from headwater.functions.text import normalized, term_words, with_pairs
 
 
 def ensure_text(df: DataFrame, title: str = "Title", snippet: str = "Snippet", out: str = "_text_norm") -> DataFrame:
@@ -20,10 +20,12 @@ def tfidf_scores(df: DataFrame, key: str = "row_id", cluster: str = "Cluster", t
     A term counts if at least two documents (one, if there are fewer than five) and at most ``max_df`` of them
     hold it. Documents are weighted within themselves, so only (cluster, term) sums are shuffled twice.
     """
-    docs = df.where(F.col(cluster).isNotNull()).select(cluster, F.col(key).alias("__id"), term_tokens(F.col(text)).alias("tokens"))
-    sizes = docs.groupBy(cluster).agg(F.count("*").alias("n"))
+    words = df.where(F.col(cluster).isNotNull()).select(cluster, F.col(key).alias("__id"), term_words(F.col(text)).alias("words"))
+    docs = words.select(cluster, "__id", with_pairs(F.col("words")).alias("tokens"))
+    sizes = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"))
     tf = docs.select(cluster, "__id", F.explode("tokens").alias("term")).groupBy(cluster, "__id", "term").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy(cluster, "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), cluster)
+    # both uses of tf read all its columns, so that its exchange is made once
+    df_ = tf.groupBy(cluster, "term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df")).join(F.broadcast(sizes), cluster)
     least = F.when(F.col("n") < 5, 1).otherwise(2)
     idf = (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")
     kept = df_.where((F.col("df") >= least) & (F.col("df") <= max_df * F.col("n"))).select(cluster, "term", idf, "n")
