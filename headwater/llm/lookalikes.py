@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -27,6 +28,7 @@ INVISIBLE = (
     "⁠⁡⁢⁣⁤⁦⁧⁨⁩ㅤ﻿ﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 )
 SPACES = "               　"
+FRENCH_AFTER, KEYS = tuple(";:!?»%€"), tuple("#*0123456789")
 EAST_ASIAN = ("ja", "zh", "ko")
 CYRILLIC_LANGS = ("ru", "uk", "bg", "sr", "be", "mk")
 
@@ -44,6 +46,17 @@ SPECIAL = (
 SPECIAL_RE, MARKS_RE = re.compile(SPECIAL), re.compile(f"[{MARKS}]")
 
 
+def _class(chars: Iterable[str]) -> str:
+    """The inside of a character class, as ranges: long lists of characters are searched one by one."""
+    ranges: list[list[int]] = []
+    for o in sorted(set(map(ord, chars))):
+        if ranges and ranges[-1][1] == o - 1:
+            ranges[-1][1] = o
+        else:
+            ranges.append([o, o])
+    return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
+
+
 def _styled() -> dict[str, str]:
     """Letters and digits in other widths and styles, from their compatibility decompositions."""
     out = {}
@@ -101,13 +114,21 @@ def _transducer(lang: str, marks: bool) -> tuple[re.Pattern, dict]:
         spaced = ""
     keycap = "[#*0-9]️?⃣"
     emoji = f"(?P<emoji>{keycap}|{EMOJI}[︎️]?[\U0001f3fb-\U0001f3ff]?(?:‍{EMOJI}[︎️]?[\U0001f3fb-\U0001f3ff]?)*)|"
-    hidden = "".join(re.escape(c) for c in INVISIBLE)
+    hidden = _class(INVISIBLE)
     # letters start a cluster, so this alternative is tried at every letter: only for texts with marks
     cluster = f"(?P<cluster>[^\\W\\d_](?:[{hidden}]*[{MARKS}])+)|" if marks else "(?P<cluster>(?!))|"
-    singles = "".join(re.escape(c) for c in table)
+    singles = _class(table)
     return re.compile(f"{emoji}{spaced}{cluster}(?P<one>[{singles}]{"" if marks else "+"})"), table
 
 
+@lru_cache(maxsize=None)
+def _runs(lang: str) -> re.Pattern:
+    """Runs of the characters the transducer acts on in texts without marks; a class alone is found fast."""
+    table = _transducer(lang, False)[1]
+    return re.compile("[" + _class(table) + EMOJI[1:-1] + "]+")
+
+
+EMOJI_RE = re.compile(EMOJI)
 WORD = re.compile(r"[^\W\d_]+")
 LOOKS = re.compile("[" + "".join(CYRILLIC_LOOK) + "".join(GREEK_LOOK) + "]")
 LATIN, CYRILLIC, GREEK = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽ]")
@@ -141,7 +162,8 @@ def transduce(text: str, lang: str | None = None) -> str:
     lang = lang or ""
     if not SPECIAL_RE.search(text):
         return text
-    pattern, table = _transducer(lang, MARKS_RE.search(text) is not None)
+    marks = MARKS_RE.search(text) is not None
+    pattern, table = _transducer(lang, marks)
 
     def replace(m: re.Match) -> str:
         if (one := m.group("one")) is not None:
@@ -153,7 +175,18 @@ def transduce(text: str, lang: str | None = None) -> str:
             return unicodedata.normalize("NFC", "".join(parts))
         return m.group()
 
-    text = pattern.sub(replace, text)
+    def run(m: re.Match) -> str:
+        chars, a, b = m.group(), m.start(), m.end()
+        if EMOJI_RE.search(chars) or "\u20e3" in text[b : b + 1]:
+            a = a - 1 if text[a - 1 : a] in KEYS else a
+            whole = text[a : b + 1] if text[b : b + 1] == "\u20e3" else text[a:b]
+            kept = pattern.sub(replace, whole)
+            return kept[m.start() - a : len(kept) - (len(whole) - (b - a))]
+        if lang == "fr" and len(chars) == 1 and chars in "\u00a0\u202f" and (text[b : b + 1] in FRENCH_AFTER or text[a - 1 : a] == "«"):
+            return chars
+        return "".join(table[c] for c in chars)
+
+    text = (pattern.sub(replace, text) if marks else _runs(lang).sub(run, text))
     if lang in EAST_ASIAN or not (CYRILLIC.search(text) or GREEK.search(text)):
         return text
     return WORD.sub(lambda m: _word(m.group(), lang), text)
