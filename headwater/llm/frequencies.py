@@ -79,7 +79,6 @@ def ngram_counts(df: DataFrame, text: str, depth: int = 1, only: DataFrame | Non
         vocabulary: dict[str, int] = {}
         numbers: list[int] = []
         records: list[int] = []
-        record = 0
 
         def close() -> Iterator[pd.DataFrame]:
             names = list(vocabulary)
