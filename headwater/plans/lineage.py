@@ -41,9 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes in fewer partitions than that; inputs of many files stay as they are."""
+    """``df`` over all cores if it is scanned in fewer partitions than that; inputs of many files stay as they are.
+
+    A plan with a shuffle of its own is left alone: its partitions are AQE's, and asking for their number would
+    run it.
+    """
+    query = df._jdf.queryExecution()
+    if query.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
+    return df if query.toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def stage(df: DataFrame) -> DataFrame:
