@@ -35,7 +35,7 @@ SENTENCE = re.compile(r"[.!?;:]\s")
 MIN_SHARE, MIN_POSTS = 0.001, 4
 DENSE, HELD = 5000, 8_000_000  # vocabulary up to which pairs are counted in a dense matrix per task; pairs held between additions
 INFLATION, PRUNE, KEEP, ROUNDS, STILL = 2.0, 1e-3, 60, 30, 1e-3
-MIN_LIFT, MIN_TOGETHER, MIN_Z, TOP, NEAR = 1.5, 4, 5.0, 15, 0.45
+MIN_LIFT, MIN_TOGETHER, MIN_Z, TOP, NEAR = 1.5, 4, 5.0, 15, 0.6
 MIN_WORDS, MIN_LEVEL, CLIP = 15, 2.2, (np.log(0.02), np.log(500.0))
 
 
@@ -248,7 +248,12 @@ def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = M
     found = found.sort_values(["v", "j"], ascending=[False, True])
     cores = [[words[j] for j in found.j if member[j] == k] for k in range(len(keep))]
     model = {"words": words, "member": member, "affinity": affinity, "cores": cores}
-    return model | {"affinity": _through_posts(df, key, fields, model, posts, total)}
+    affinity, held = _through_posts(df, key, fields, model, posts, total)
+    # what remains of a language's common words after the step holds next to no posts
+    real = np.flatnonzero(held >= min_share * total)
+    to = np.full(len(held) + 1, -1)
+    to[real] = np.arange(len(real))
+    return {"words": words, "member": to[member], "affinity": affinity[:, real], "cores": [cores[k] for k in real]}
 
 
 def _reach(found: dict[str, int], number: dict[str, int], model: dict) -> tuple[np.ndarray, int, np.ndarray]:
@@ -257,12 +262,14 @@ def _reach(found: dict[str, int], number: dict[str, int], model: dict) -> tuple[
     return own, int((model["member"][own] >= 0).sum()) if len(own) else 0, model["affinity"][own].sum(axis=0)
 
 
-def _through_posts(df: DataFrame, key: str, fields: list[str], model: dict, posts: np.ndarray, total: int) -> np.ndarray:
-    """The affinities after one more step of the flow, word -> post -> cluster: words all posts of a language
-    share no longer speak for the cluster they happened to be in."""
+def _through_posts(df: DataFrame, key: str, fields: list[str], model: dict, posts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The affinities after one more step of the flow, word -> post -> cluster, and the posts of each cluster.
+
+    Words that all posts of a language share then no longer speak for the cluster they happened to be in.
+    """
     n_words, n_clusters = model["affinity"].shape
     if not n_clusters:
-        return model["affinity"]
+        return model["affinity"], np.zeros(0)
     number = {w: k for k, w in enumerate(model["words"])}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,7 +289,7 @@ def _through_posts(df: DataFrame, key: str, fields: list[str], model: dict, post
     count = np.zeros((n_words + 1, n_clusters))
     count[got.w.to_numpy(), got.c.to_numpy()] = got.n.to_numpy()
     expected = posts[:, None] * count[n_words][None, :] / max(total, 1)
-    return np.log((count[:n_words] + 0.5) / (expected + 0.5)).clip(*CLIP).astype(np.float32)
+    return np.log((count[:n_words] + 0.5) / (expected + 0.5)).clip(*CLIP).astype(np.float32), count[n_words]
 
 
 def themes(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SHARE, inflation: float = INFLATION, model: dict | None = None) -> DataFrame:
