@@ -106,7 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 LINKS = """links as (select distinct cast(least(i, j) as bigint) as a, cast(greatest(i, j) as bigint) as b from duplicate_pairs
-  where i is not null and j is not null and i <> j and similarity is not null and not isnan(similarity) and similarity >= 0.90),
+  where i is not null and j is not null and i <> j and similarity is not null and lower(cast(similarity as varchar)) <> 'nan' and similarity >= 0.90),
 both_ways as (select a, b from links union select b, a from links),
 reach as (select a as row_id, a as other from both_ways union select reach.row_id, both_ways.b from reach join both_ways on reach.other = both_ways.a),
 found as (select row_id, min(other) as group_id from reach group by row_id)"""
