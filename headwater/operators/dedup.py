@@ -3,13 +3,16 @@
 The similarity join is exact. Vectors are put at length one, where cosine and distance say the same, and every
 vector lives in the cell of its nearest pivot. Two vectors within the distance meet in a cell when one also
 visits the cells whose pivot is no farther than its own plus twice the distance (triangle inequality), so only
-neighbouring cells are compared; a cell that grew hot is split by AQE.
+neighbouring cells are compared; a cell that grew hot is split by AQE. Where cells do not separate (the hashed
+vectors of posts), ``similar_in_blocks`` compares every pair by products of matrices.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from headwater.operators.components import components
 from headwater.plans.lineage import cut
 
 PIVOTS = 64
+BLOCK, ROWS, COLUMNS, SLACK = 170_000, 512, 1024, 1e-5  # rows of a block, of a tile, and the most a single-precision cosine is off
 
 
 def eligible(df: DataFrame, title: str = "Title", snippet: str = "Snippet", min_chars: int = 40) -> DataFrame:
@@ -44,6 +48,62 @@ def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     return scored.where(F.col("similarity") >= threshold).groupBy("i", "j").agg(F.max("similarity").alias("similarity")).select("similarity", "i", "j")
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(lists) and len(flat) % len(lists):
+        raise ValueError("vectors of different lengths")
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def _similar_rows(v: np.ndarray, ids: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(similarity, i, j) of the rows ``first`` against ``second`` (the same rows: each pair once), decided in double precision."""
+    length = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
+    first, second, same = first[length[first] > 0], second[length[second] > 0], first is second
+    a = (v[first] / length[first, None]).astype(np.float32)
+    b = a if same else (v[second] / length[second, None]).astype(np.float32)
+    found = [(np.zeros(0), ids[:0], ids[:0])]
+    for r in range(0, len(a), ROWS):
+        for c in range(r // COLUMNS * COLUMNS if same else 0, len(b), COLUMNS):
+            tile = a[r : r + ROWS] @ b[c : c + COLUMNS].T
+            near = np.flatnonzero(tile.ravel() >= np.float32(threshold - SLACK))
+            if not len(near):
+                continue
+            x, y = r + near // tile.shape[1], c + near % tile.shape[1]
+            if same:
+                x, y = x[x < y], y[x < y]
+            x, y = first[x], second[y]
+            exact = np.einsum("ij,ij->i", v[x] / length[x, None], v[y] / length[y, None], dtype=np.float64)
+            x, y, exact = x[exact >= threshold], y[exact >= threshold], exact[exact >= threshold]
+            found.append((exact, np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+    return tuple(np.concatenate(k) for k in zip(*found, strict=True))
+
+
+def similar_in_blocks(df: DataFrame, key: str, vector: str, threshold: float = 0.90, block: int = BLOCK) -> DataFrame:
+    """As :func:`similar_vectors`, with every pair of rows compared: exact, and quadratic in the rows.
+
+    Rows are dealt into blocks by hash, every two blocks meet in one task. ``key`` is a unique number; null and
+    zero vectors have no partner.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
+    blocks = max(1, math.ceil(df.select(key).count() / block))  # of the key alone: no vector is made for it
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.select("id", "v", own.alias("own"), met.alias("other"))
+    dealt = dealt.select("id", "v", "own", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("unit"))
+
+    def compare(unit: tuple, rows: pa.Table) -> pa.Table:
+        p, q = divmod(unit[0].as_py(), blocks)
+        of = rows["own"].to_numpy()
+        first = np.flatnonzero(of == p)
+        second = first if p == q else np.flatnonzero(of == q)
+        similarity, i, j = _similar_rows(_matrix(rows["v"]), rows["id"].to_numpy(), first, second, threshold)
+        return pa.table({"similarity": similarity, "i": i, "j": j})
+
+    spaced = dealt.repartition(4 * blocks * (blocks + 1) // 2, "unit")  # so that few tasks get two units
+    return spaced.groupBy("unit").applyInArrow(compare, "similarity double, i long, j long")
+
+
 def duplicate_groups(pairs: DataFrame, rows: DataFrame, key: str = "row_id") -> DataFrame:
     """(DupGroupID, Index, Title, URL, Cluster) of all rows in groups of two or more.
 

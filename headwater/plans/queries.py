@@ -232,6 +232,46 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
     return _embedded(spark, d).select("row_id", "embedding")
 
 
+def _post_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """All posts of clean, with or without a cluster, and the vectors of their texts."""
+    df = spread(posts(spark, d).select("row_id", "Title", "Snippet", "URL", "Cluster"))
+    return df.withColumn("embedding", providers.embedded(X.embedding_text(F.col("Title"), F.col("Snippet"))))
+
+
+def _similar_posts(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.similar_in_blocks(dedup.eligible(_post_vectors(spark, d)), "row_id", "embedding")
+
+
+def near_dup_posts(spark: SparkSession, d: str) -> DataFrame:
+    return _similar_posts(spark, d)
+
+
+def dup_post_groups(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.duplicate_groups(cut(_similar_posts(spark, d)), dedup.eligible(posts(spark, d)))
+
+
+def deduplicated_posts(spark: SparkSession, d: str) -> DataFrame:
+    rows = posts(spark, d).select("row_id", "Cluster", "Title", "Snippet")
+    return dedup.deduplicated(rows, cut(_similar_posts(spark, d)))
+
+
+def post_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Posts without a cluster are counted under null."""
+    return dedup.dedup_summary(posts(spark, d), deduplicated_posts(spark, d))
+
+
+def central_of_posts(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.central(_embedded(spark, d))
+
+
+def kmeans_posts(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.kmeans(_post_vectors(spark, d).select("row_id", "embedding"), 6)
+
+
+def projected_posts(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.projection(_post_vectors(spark, d))
+
+
 def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
     return clusters.summarize(_embedded(spark, d))
 
@@ -287,7 +327,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         dataset_span, timeline_adaptive, timeline_days, timeline_three_days, timeline_weeks, timeline_weekly, top_posters_volume,
         top_posters_engagement, engagement_total, top_authors_by_theme, author_theme_table, fingerprint, normalize_text, first_sentences,
         display_labels, hover_texts, embedding_texts, token_counts, tfidf_terms, cluster_terms, kwic_search, kwic_counts, kwic_cooccurrence,
-        central_posts, near_dup_pairs, dup_groups, deduplicated, dedup_summary, kmeans_clusters, projection, embeddings, extractive_summary,
+        central_posts, near_dup_pairs, dup_groups, deduplicated, dedup_summary, kmeans_clusters, projection, embeddings,
+        near_dup_posts, dup_post_groups, deduplicated_posts, post_dedup_summary, central_of_posts, kmeans_posts, projected_posts, extractive_summary,
         narratives, takeaways, sentiment_scores, sentiment_by_cluster, likes_by_cluster, entities, top_entities, prompt_lines,
     )
     return {f.__name__: f for f in named}

@@ -148,6 +148,59 @@ def test_similar_vectors_are_all_found(spark):
     assert {(r.i, r.j) for r in dedup.similar_vectors(df, "row_id", "embedding", 0.8, pivots=7).collect()} == want and want
 
 
+@pytest.fixture(scope="module")
+def small_posts(spark, tmp_path_factory):
+    """clean and its companions: near copies by word, short texts that do not take part, a null text."""
+    import numpy as np
+
+    rng, d = np.random.default_rng(5), str(tmp_path_factory.mktemp("posts"))
+    vocabulary = [f"word{k}" for k in range(300)]
+    rows = []
+    for k in range(40):
+        words = list(rng.choice(vocabulary, 30, replace=False))
+        rows += [("Title " + str(k), " ".join(words)), ("Title " + str(k), " ".join(words[:-1])), ("Other", " ".join(words + ["more"]))]
+    rows += [("Short", "one two")] * 2 + [("x" * 19, "y" * 20), ("x" * 19, "y" * 20), ("x" * 19, "y" * 19), (None, None)]
+    days = ["05/03/2025", "2025-03-05T10:00:00Z", "15-Sep-2025 02:55 PM", None, "soon", ""]
+    clean = [(k, t, s, days[k % 6], "14:00" if k % 6 == 0 else None, None, "a", None, *[None] * 6, "f", datetime(2025, 6, 1)) for k, (t, s) in enumerate(rows)]
+    amounts = ", ".join(f"{c} double" for c in normalize.ENGAGEMENT)
+    spark.createDataFrame(clean, f"row_id long, Title string, Snippet string, Date string, Time string, URL string, author string, display_name string, {amounts}, feed string, ingested_at timestamp_ntz").write.parquet(f"{d}/clean.parquet")
+    spark.createDataFrame([(k, "a", k % 3, "r", datetime(2025, 1, 1)) for k in range(len(rows) - 9)], "row_id long, author string, Cluster int, run_id string, clustered_at timestamp_ntz").write.parquet(f"{d}/clustered.parquet")
+    spark.createDataFrame([("f", "F", "en", "Europe/Berlin", "DMY", 1)], "feed string, feed_name string, lang string, tz string, date_order string, trust_rank int").write.parquet(f"{d}/feeds.parquet")
+    return d, rows
+
+
+@pytest.mark.parametrize("block", [170_000, 20])
+def test_near_duplicate_posts_equal_brute_force(spark, small_posts, monkeypatch, block):
+    import numpy as np
+
+    from headwater.plans import queries
+
+    d, rows = small_posts
+    monkeypatch.setattr(dedup.similar_in_blocks, "__defaults__", (0.90, block))
+    v = np.array(providers.HashingEmbedder()([f"{t or ''}. {s or ''}" for t, s in rows]))
+    length = [len(f"{t or ''} {s or ''}") for t, s in rows]
+    norm = np.linalg.norm(v, axis=1)
+    same = lambda i, j: v[i] @ v[j] >= 0.90 * norm[i] * norm[j] and min(length[i], length[j]) >= 40
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if same(i, j)}
+    found = queries.near_dup_posts(spark, d).collect()
+    assert {(r.i, r.j) for r in found} == want and len(found) == len(want) > 40
+    assert all(abs(r.similarity - v[r.i] @ v[r.j] / norm[r.i] / norm[r.j]) < 1e-6 for r in found)
+
+    group = list(range(len(rows)))
+    for i, j in want:
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    of = {g: [k for k in range(len(rows)) if group[k] == g] for g in set(group)}
+    kept = {max(m, key=lambda k: (length[k], -k)) for m in of.values()}
+    assert {r.row_id for r in queries.deduplicated_posts(spark, d).collect()} == kept
+    if block == 20:
+        numbers = {g: n for n, g in enumerate(g for g in sorted(of) if length[g] >= 40)}
+        assert {(r.DupGroupID, r.Index) for r in queries.dup_post_groups(spark, d).collect()} == {(numbers[g], k) for g, m in of.items() if len(m) > 1 for k in m}
+        summary = {r.Cluster: (r.Before, r.After) for r in queries.post_dedup_summary(spark, d).collect()}
+        cluster = [k % 3 if k < len(rows) - 9 else None for k in range(len(rows))]
+        assert summary == {c: (cluster.count(c), sum(cluster[k] == c for k in kept)) for c in (0, 1, 2, None)}
+
+
 def test_timeline_and_span(spark):
     df = spark.createDataFrame([(0, datetime(2025, 1, 4, 5)), (0, datetime(2025, 1, 5)), (1, datetime(2025, 1, 6)), (1, None)], "Cluster int, Date timestamp_ntz")
     assert {(r.Cluster, str(r.Date), r.Volume) for r in volumes.timeline(df).collect()} == {(0, "2025-01-04 00:00:00", 1), (0, "2025-01-05 00:00:00", 1), (1, "2025-01-06 00:00:00", 1)}
