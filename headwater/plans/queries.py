@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.functions import text as X
@@ -154,6 +154,77 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
+def _instant(micros: str) -> Column:
+    """Microseconds since 1970 as a timestamp without zone, in UTC whatever the session's zone."""
+    return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast({micros} as decimal(24, 6)) / 1000000)")
+
+
+def own_dated_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The posts in canonical form, dated by their own Date and Time in UTC, with the cluster of their latest run.
+
+    Where these fix no instant (no time of day, no known zone) but a day, Date is as written, midnight without a time
+    of day; where they fix no day, it is null.
+    """
+    feeds = table(spark, d, "feeds")
+    dated = normalize_timestamps(spread(table(spark, d, "clean")), feeds, out="__hw_utc")
+    rest = dated.withColumns({"__hw_date": F.when(F.col("__hw_utc").isNull(), F.col("Date")), "__hw_time": F.lit("00:00")})
+    days = normalize_timestamps(rest, feeds.withColumn("tz", F.lit("UTC")), "__hw_date", "__hw_time", out="__hw_day")
+    own = days.withColumn("__hw_us", F.coalesce("__hw_utc", "__hw_day")).withColumn("Date", _instant("__hw_us"))
+    canonical = normalize.canonical(own.drop("__hw_utc", "__hw_date", "__hw_time", "__hw_day", "__hw_us"))
+    return volumes.attach_clusters(canonical, volumes.latest_labels(table(spark, d, "clustered")))
+
+
+def own_canonical_posts(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.with_text(own_dated_posts(spark, d)).select("row_id", "Title", "Snippet", "Date", "URL", "author", "display_name", *normalize.ENGAGEMENT)
+
+
+def own_dataset_span(spark: SparkSession, d: str) -> DataFrame:
+    return volumes.dataset_span(own_dated_posts(spark, d))
+
+
+def _own_clustered(spark: SparkSession, d: str) -> DataFrame:
+    return cut(own_dated_posts(spark, d).where("Cluster is not null").select("Cluster", "Date"))  # read twice, made once
+
+
+def own_timeline_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    df = _own_clustered(spark, d)
+    return volumes.timeline(df, names=names(df))
+
+
+def _own_span(spark: SparkSession, d: str, first: str, last: str) -> DataFrame:
+    return volumes.timeline(_own_clustered(spark, d).where((F.col("Date") >= first) & (F.col("Date") < last)))
+
+
+def own_timeline_days(spark: SparkSession, d: str) -> DataFrame:
+    return _own_span(spark, d, "2025-03-01", "2025-03-06")
+
+
+def own_timeline_three_days(spark: SparkSession, d: str) -> DataFrame:
+    return _own_span(spark, d, "2025-03-01", "2025-03-20")
+
+
+def own_timeline_weeks(spark: SparkSession, d: str) -> DataFrame:
+    return _own_span(spark, d, "2025-03-01", "2025-05-01")
+
+
+def own_timeline_weekly(spark: SparkSession, d: str) -> DataFrame:
+    return volumes.weekly_counts(volumes.with_week(own_dated_posts(spark, d).where("Cluster is not null")))
+
+
+def own_takeaways(spark: SparkSession, d: str) -> DataFrame:
+    return _takeaways(own_dated_posts(spark, d).where("Cluster is not null"))
+
+
+def normalized_posts(spark: SparkSession, d: str) -> DataFrame:
+    """clean as a raw table of the ``alias`` profile: dated by the reference's lenient rule, null where it finds none."""
+    return normalize.normalize_posts(table(spark, d, "clean"), keep=["row_id"])
+
+
+def normalized_exports(spark: SparkSession, d: str) -> DataFrame:
+    """As normalized_posts, by the ``export`` profile."""
+    return normalize.normalize_posts(table(spark, d, "clean"), "export", keep=["row_id"])
+
+
 def _normed(spark: SparkSession, d: str) -> DataFrame:
     return terms.ensure_text(clustered(spark, d)).select("row_id", "Cluster", "Title", "_text_norm")
 
@@ -284,7 +355,11 @@ def narratives(spark: SparkSession, d: str) -> DataFrame:
 
 def takeaways(spark: SparkSession, d: str) -> DataFrame:
     """Takeaways of an offline narrator that repeats the first line of every section of the prompt."""
-    df = posts(spark, d).where("Cluster is not null")
+    return _takeaways(posts(spark, d).where("Cluster is not null"))
+
+
+def _takeaways(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
     named = names(df)
     told = named.select("Cluster", F.col("Narrative").alias("summary"))
     prompt = narration.takeaways_prompt(
@@ -328,6 +403,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         top_posters_engagement, engagement_total, top_authors_by_theme, author_theme_table, fingerprint, normalize_text, first_sentences,
         display_labels, hover_texts, embedding_texts, token_counts, tfidf_terms, cluster_terms, kwic_search, kwic_counts, kwic_cooccurrence,
         central_posts, near_dup_pairs, dup_groups, deduplicated, dedup_summary, kmeans_clusters, projection, embeddings,
+        own_canonical_posts, own_dataset_span, own_timeline_adaptive, own_timeline_days, own_timeline_three_days, own_timeline_weeks,
+        own_timeline_weekly, own_takeaways, normalized_posts, normalized_exports,
         near_dup_posts, dup_post_groups, deduplicated_posts, post_dedup_summary, central_of_posts, kmeans_posts, projected_posts, extractive_summary,
         narratives, takeaways, sentiment_scores, sentiment_by_cluster, likes_by_cluster, entities, top_entities, prompt_lines,
     )

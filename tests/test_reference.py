@@ -160,7 +160,7 @@ def small_posts(spark, tmp_path_factory):
         words = list(rng.choice(vocabulary, 30, replace=False))
         rows += [("Title " + str(k), " ".join(words)), ("Title " + str(k), " ".join(words[:-1])), ("Other", " ".join(words + ["more"]))]
     rows += [("Short", "one two")] * 2 + [("x" * 19, "y" * 20), ("x" * 19, "y" * 20), ("x" * 19, "y" * 19), (None, None)]
-    days = ["05/03/2025", "2025-03-05T10:00:00Z", "15-Sep-2025 02:55 PM", None, "soon", ""]
+    days = ["05/03/2025", "2025-03-05T10:00:00Z", "15-Sep-2025 02:55 PM", None, "soon", "07/03/2025"]
     clean = [(k, t, s, days[k % 6], "14:00" if k % 6 == 0 else None, None, "a", None, *[None] * 6, "f", datetime(2025, 6, 1)) for k, (t, s) in enumerate(rows)]
     amounts = ", ".join(f"{c} double" for c in normalize.ENGAGEMENT)
     spark.createDataFrame(clean, f"row_id long, Title string, Snippet string, Date string, Time string, URL string, author string, display_name string, {amounts}, feed string, ingested_at timestamp_ntz").write.parquet(f"{d}/clean.parquet")
@@ -201,6 +201,32 @@ def test_near_duplicate_posts_equal_brute_force(spark, small_posts, monkeypatch,
         assert summary == {c: (cluster.count(c), sum(cluster[k] == c for k in kept)) for c in (0, 1, 2, None)}
 
 
+def test_posts_are_dated_by_their_own_date(spark, small_posts):
+    from headwater.plans import queries
+
+    d, rows = small_posts
+    day = [datetime(2025, 3, 5, 13), datetime(2025, 3, 5, 10), datetime(2025, 9, 15, 12, 55), None, None, datetime(2025, 3, 7)]
+    dated = {r.row_id: r.Date for r in queries.own_canonical_posts(spark, d).collect()}
+    assert dated == {k: day[k % 6] for k, (t, _) in enumerate(rows) if t}
+    span = queries.own_dataset_span(spark, d).first()
+    assert (span.first, span.last, span.dated) == (day[1], day[2], sum(day[k % 6] is not None for k in range(len(rows))))
+    known = [day[k % 6] for k in range(len(rows) - 9) if day[k % 6]]
+    count = lambda df, c: dict((str(r[0])[:10], r[1]) for r in df.groupBy(c).agg({df.columns[2]: "sum"}).collect())
+    assert count(queries.own_timeline_weekly(spark, d), "Week") == {"2025-03-03": sum(x.month == 3 for x in known), "2025-09-15": sum(x.month == 9 for x in known)}
+    assert count(queries.own_timeline_adaptive(spark, d), "Date") == {"2025-03-31": sum(x.month == 3 for x in known), "2025-09-30": sum(x.month == 9 for x in known)}
+    assert count(queries.own_timeline_days(spark, d), "Date") == {}  # all within a day: no span
+
+
+def test_clean_as_a_raw_table(spark, small_posts):
+    from headwater.plans import queries
+
+    d, rows = small_posts
+    texts = {p: min(k for k, q in enumerate(rows) if q == p) for p in rows if p[0]}
+    for query in (queries.normalized_posts, queries.normalized_exports):
+        assert {(r.Title, r.Snippet): r.row_id for r in query(spark, d).collect()} == texts
+        assert {r.row_id % 6 for r in query(spark, d).where("Date is null").collect()} == {3, 4}
+
+
 def test_timeline_and_span(spark):
     df = spark.createDataFrame([(0, datetime(2025, 1, 4, 5)), (0, datetime(2025, 1, 5)), (1, datetime(2025, 1, 6)), (1, None)], "Cluster int, Date timestamp_ntz")
     assert {(r.Cluster, str(r.Date), r.Volume) for r in volumes.timeline(df).collect()} == {(0, "2025-01-04 00:00:00", 1), (0, "2025-01-05 00:00:00", 1), (1, "2025-01-06 00:00:00", 1)}
