@@ -147,6 +147,8 @@ def sure_edges(pairs: DataFrame, words: DataFrame, total: int, usual: float) ->
 
 def word_graph(sure: pd.DataFrame, size: int) -> pd.DataFrame:
     """(a, b, w): of the sure edges (a, b, lift) those near the best either word has, with the logarithm as weight."""
+    if not len(sure):
+        return pd.DataFrame({"a": [], "b": [], "w": []})
     a, b, lift = sure.a.to_numpy(), sure.b.to_numpy(), sure.lift.to_numpy()
     # the level of a word: the median of its strongest edges
     ends, level = np.concatenate([a, b]), np.ones(size)
@@ -191,7 +193,36 @@ def markov_clusters(edges: DataFrame, inflation: float = INFLATION) -> DataFrame
 
 
 def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SHARE, inflation: float = INFLATION) -> dict:
-    """The clusters of words and what every word says of them.
+    """The clusters of words and what every word says of them, with ``more``: models of what earlier ones leave over.
+
+    Themes whose words are too rare among all posts are looked for among the posts that hold no word of any cluster,
+    again until a pass finds nothing. There a word counts only if most of its posts are left over.
+    """
+    first = _pass_model(df, key, fields, min_share, inflation)
+    first["more"], left, latest, known = [], df, first, dict(zip(first["words"], first["posts"], strict=True))
+    while latest["cores"]:
+        left = stage(_left_over(left, key, fields, latest))
+        latest = _pass_model(left, key, fields, min_share, inflation, (first["total"], first["usual"], known))
+        if latest["cores"]:
+            first["more"].append(latest)
+    return first
+
+
+def _left_over(df: DataFrame, key: str, fields: list[str], model: dict) -> DataFrame:
+    """The posts (key, fields) that hold words, but none of a cluster."""
+    members = {w for w, c in zip(model["words"], model["member"], strict=True) if c >= 0}
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[np.array([bool(found) and members.isdisjoint(found) for found in _post_words(b, len(fields))], dtype=bool)]
+
+    texts = _texts(df, key, fields)
+    left = texts.mapInPandas(scan, texts.schema)
+    return left.select(F.col("id").alias(key), *(F.col(f"t{k}").alias(f) for k, f in enumerate(fields)))
+
+
+def _pass_model(df: DataFrame, key: str, fields: list[str], min_share: float, inflation: float, whole: tuple[int, float, dict] | None = None) -> dict:
+    """One pass of :func:`theme_model`; ``whole`` is what chance is measured by: the number of all posts, what is usual, and the posts of known words.
 
     words: the vocabulary; member: cluster number of each word or -1; affinity: words x clusters, the logarithm
     of how much more often than by chance a word shares a post with the words of a cluster; cores: the words of
@@ -199,13 +230,17 @@ def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = M
     """
     spark = df.sparkSession
     vocab, total = vocabulary(df, key, fields, min_share)
+    least = max(MIN_POSTS, min_share * total)
+    if whole:
+        vocab = vocab[np.array([n >= 0.5 * whole[2].get(w, 0) for w, n in zip(vocab.word, vocab.posts, strict=True)], dtype=bool)]
+        total = whole[0]
     words, posts = vocab.word.tolist(), vocab.posts.to_numpy().astype(float)
-    empty = {"words": words, "member": np.full(len(words), -1), "affinity": np.zeros((len(words), 0), dtype=np.float32), "cores": []}
+    empty = {"words": words, "member": np.full(len(words), -1), "affinity": np.zeros((len(words), 0), dtype=np.float32), "cores": [], "posts": posts, "total": total, "usual": 1.0}
     if not words:
         return empty
     pairs = stage(together(df, key, fields, words))
     all_pairs = float(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    usual = all_pairs * total / max(float((posts.sum() ** 2 - (posts**2).sum()) / 2), 1.0)
+    usual = whole[1] if whole else all_pairs * total / max(float((posts.sum() ** 2 - (posts**2).sum()) / 2), 1.0)
     listed = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(words), dtype=np.int32), "posts": posts}), "k int, posts double")
     graph = word_graph(sure_edges(pairs, listed, total, usual).toPandas(), len(words))
     if not len(graph):
@@ -247,13 +282,13 @@ def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = M
     affinity = np.log((count + 1.0) / (expected + 1.0)).clip(*CLIP).astype(np.float32)
     found = found.sort_values(["v", "j"], ascending=[False, True])
     cores = [[words[j] for j in found.j if member[j] == k] for k in range(len(keep))]
-    model = {"words": words, "member": member, "affinity": affinity, "cores": cores}
+    model = {"words": words, "member": member, "affinity": affinity, "cores": cores, "posts": posts, "total": total, "usual": usual}
     affinity, held = _through_posts(df, key, fields, model, posts, total)
     # what remains of a language's common words after the step holds next to no posts
-    real = np.flatnonzero(held >= min_share * total)
+    real = np.flatnonzero(held >= (least if whole else min_share * total))
     to = np.full(len(held) + 1, -1)
     to[real] = np.arange(len(real))
-    return {"words": words, "member": to[member], "affinity": affinity[:, real], "cores": [cores[k] for k in real]}
+    return model | {"member": to[member], "affinity": affinity[:, real], "cores": [cores[k] for k in real]}
 
 
 def _reach(found: dict[str, int], number: dict[str, int], model: dict) -> tuple[np.ndarray, int, np.ndarray]:
@@ -297,23 +332,28 @@ def themes(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SH
 
     The cluster is the one with the strongest flow, the sum of the affinities of the post's words; ``flow`` is
     its share against the other clusters. cluster is null for posts that hold no word of any cluster (null,
-    blank, remarks). Repeated rows give repeated results; an empty table gives an empty table.
+    blank, remarks). Of the models of several passes the one counts of whose clusters the post holds most words (of equals
+    the earlier); its clusters are numbered after those of earlier ones. Repeated rows give repeated results; an empty table gives an empty table.
     """
     model = model or theme_model(df, key, fields, min_share, inflation)
-    number = {w: k for k, w in enumerate(model["words"])}
+    models, first = [], 0
+    for m in (model, *model.get("more", [])):
+        models.append((m, {w: k for k, w in enumerate(m["words"])}, first))
+        first += len(m["cores"])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             clusters, flows, counts = [], [], []
             for found in _post_words(b, len(fields)):
-                _, core, reach = _reach(found, number, model)
+                tried = [(*_reach(found, number, m)[1:], first) for m, number, first in models]
+                core, reach, first = max(tried, key=lambda t: t[0])
                 counts.append(core)
                 if not core:
                     clusters.append(None)
                     flows.append(None)
                     continue
                 best = int(np.argmax(reach))
-                clusters.append(best)
+                clusters.append(first + best)
                 flows.append(float(1.0 / np.exp(np.minimum(reach - reach[best], 0.0)).sum()))
             yield pd.DataFrame({"id": b["id"], "cluster": pd.array(clusters, dtype="Int32"), "flow": pd.array(flows, dtype="Float64"), "words": counts})
 
@@ -329,7 +369,7 @@ def theme_report(assigned: DataFrame, key: str, model: dict, typical: int = 5) -
     sizes = assigned.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("size"))
     ranked = assigned.where("cluster is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)
     best = ranked.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("rank", key))).alias("r")).select("cluster", F.col(f"r.{key}").alias("typical"))
-    names = spark.createDataFrame([(k, ", ".join(c[:8])) for k, c in enumerate(model["cores"])], "cluster int, terms string")
+    names = spark.createDataFrame([(k, ", ".join(c[:8])) for k, c in enumerate(c for m in (model, *model.get("more", [])) for c in m["cores"])], "cluster int, terms string")
     return sizes.join(best, "cluster").join(names, "cluster", "left")
 
 

@@ -259,6 +259,32 @@ def test_themes(spark):
     assert themes.themes(df.limit(0), "row_id", ["Title", "Snippet"]).count() == 0
 
 
+def test_no_sure_edges_give_no_graph():
+    import pandas as pd
+
+    assert len(themes.word_graph(pd.DataFrame({"a": [], "b": [], "lift": []}), 5)) == 0
+
+
+def test_small_themes_are_found_among_the_rest(spark):
+    rng = random.Random(4)
+    own = [[f"{c}{k}word" for k in range(30)] for c in "abcd"]
+    common = [f"common{k}" for k in range(20)]
+    truth = [k % 3 if k < 900 else 3 for k in range(930)]  # the last has 3 % of the posts, its words 2 %
+    rows = []
+    for k, c in enumerate(truth):
+        t = [" ".join(rng.sample(own[c], 5) + rng.sample(common, 4)) for _ in range(4)]
+        stray = rng.choice(own[0]) if k % 4 == 0 and c == 3 else ""  # a word of another theme
+        rows.append((k, t[0] + " " + stray, ". ".join(t[1:])))
+    rows += [(930, None, None), (931, "Worth a read", None)]
+    df = spark.createDataFrame(rows, "row_id long, Title string, Snippet string")
+    model = themes.theme_model(df, "row_id", ["Title", "Snippet"], 0.05)
+    got = {r.row_id: r.cluster for r in themes.themes(df, "row_id", ["Title", "Snippet"], model=model).collect()}
+    name = [Counter(got[k] for k in range(930) if truth[k] == c).most_common(1)[0][0] for c in range(4)]
+    assert len(set(name)) == 4 and None not in name and all(got[k] == name[truth[k]] for k in range(930)) and got[930] is got[931] is None
+    report = themes.theme_report(themes.themes(df, "row_id", ["Title", "Snippet"], model=model), "row_id", model).collect()
+    assert sorted(r["size"] for r in report) == [30, 300, 300, 300] and all(r.terms for r in report)
+
+
 # -- packing and mixing ------------------------------------------------------------------------------------------
 
 
