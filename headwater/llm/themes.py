@@ -1,19 +1,25 @@
 """Grouping posts into themes: Markov clustering with sparse distributed matrix squaring.
 
-The similarity graph of the posts is kept in factored form. Posts are alike through the words they share, so
-the flow between posts runs post -> word -> word -> post, and only its middle factor, the graph of the words
-that occur in at least ``min_share`` of the posts, is squared, inflated and pruned until it stands still. The
-attractor rows of that limit are the clusters; a post's column is its words' columns added up, its cluster
-the attractor system with the strongest flow, and the posts with the strongest flow represent the cluster.
-
-An edge between two words is their lift, how much more often they share a post than chance would have it,
-relative to the usual lift of either word: words of one small language all lift each other, words of a theme
-do so beyond that.
-
-Scale: words are counted and paired in blocks, a block emitting sums, so hot words cost one row per block. A
-post of k distinct words has at most k / min_share words per vocabulary entry, so the vocabulary, and with it
-every matrix here, is bounded by (mean distinct words) / min_share whatever the number of posts. Work on posts
-is three narrow passes, linear in their number.
+The graph has two kinds of nodes, words and posts. Two words are joined by how much more often than by chance they
+share a post (their lift, taken at the lower end of its error); a post leads to its words, and no node leads to a
+post. So the matrix of the process falls into the words' columns and the posts' columns:
+
+* the words' columns are squared, inflated and pruned, block by block, until they stand still; the attractor systems
+  of that limit are the clusters;
+* a post's own column begins with its words, each as strongly as it is tied to the others of the post and as
+  specific as it is; multiplied with the limit it is the post's flow to the attractors. The attractor system with
+  most of it is the post's cluster, and the posts with most flow represent the cluster.
+
+Two words of one language lift each other, two words of a theme more so; an edge weighs its lift against the level
+of the two words (the usual lift of their strongest edges), to a power. Words of one sentence are not paired, or
+set phrases would look like themes. A group of words is a theme if its words share posts at least ``LIFT`` times as
+often as chance has it, and if at least ``min_share`` of the posts flow to it first of all; posts of other groups
+follow the next strongest flow.
+
+Scale: texts are tokenised twice, to count the words and to write every post as numbers of the counted ones; all
+else reads these. A word must stand in ``min_share`` of the posts, so there are at most (mean distinct words) /
+min_share of them, and an edge in a tenth of that, so there are at most 5 (mean distinct words)^2 / min_share edges,
+whatever the number of posts. Word counts and pairs are summed within a task first. Work on posts is linear.
 """
 
 from __future__ import annotations
@@ -27,31 +33,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions.words import WORD
-from headwater.llm.grouping import connected_groups
 from headwater.plans.joins import small_side
 from headwater.plans.lineage import cut, spread, stage
 
 SENTENCE = re.compile(r"[.!?;:]\s")
-MIN_SHARE, MIN_POSTS = 0.001, 4
-DENSE, HELD = 5000, 8_000_000  # vocabulary up to which pairs are counted in a dense matrix per task; pairs held between additions
-INFLATION, PRUNE, KEEP, ROUNDS, STILL = 2.0, 1e-3, 60, 30, 1e-3
-MIN_LIFT, MIN_TOGETHER, MIN_Z, TOP, NEAR = 1.5, 4, 5.0, 15, 0.6
-MIN_WORDS, MIN_LEVEL, CLIP = 15, 2.2, (np.log(0.02), np.log(500.0))
+MIN_SHARE, MIN_POSTS, PAIR_SHARE = 0.001, 4, 0.1
+LIFT, ERRORS, STRONGEST, POWER = 2.0, 2.0, 15, 4  # least lift, standard errors taken off it, edges that make a word's level, power of an edge and of a level
+INFLATION, PRUNE, STILL, ROUNDS = 1.5, 1e-3, 1e-3, 200
+BLOCK, PRODUCTS = 2048, 4_000_000  # nodes of a block of the matrix; products held at once
+DENSE, HELD = 5000, 8_000_000  # words up to which a task adds pairs up in a matrix, else in sorted runs; pairs held between additions
 
 
 def _post_words(batch: pd.DataFrame, fields: int) -> Iterator[dict[str, int]]:
-    """Of each post its words, with the sentences they stand in as bits (those after the 60th share one)."""
+    """Of each post its words with the number of the sentence they stand in, -1 if they stand in several."""
     for parts in zip(*(batch[f"t{k}"] for k in range(fields)), strict=True):
         found: dict[str, int] = {}
-        bit, last = 1, 1 << 60
+        at = 0
         for p in parts:
             if not isinstance(p, str):
                 continue
             for sentence in SENTENCE.split(p.lower()):
                 for w in WORD.findall(sentence):
-                    if len(w) > 2 and not w.isdigit():
-                        found[w] = found.get(w, 0) | bit
-                bit = min(bit << 1, last)
+                    if found.setdefault(w, at) != at:
+                        found[w] = -1
+                at += 1
         yield found
 
 
@@ -81,287 +86,349 @@ def vocabulary(df: DataFrame, key: str, fields: list[str], min_share: float = MI
     return kept.orderBy(F.desc("posts"), "word").toPandas(), total
 
 
-def together(df: DataFrame, key: str, fields: list[str], words: list[str]) -> pd.DataFrame:
-    """(a, b, n) with a < b: in how many posts two words of the vocabulary stand in different sentences.
+def numbered(df: DataFrame, key: str, fields: list[str], words: list[str]) -> DataFrame:
+    """Staged (id, n, ws, at): of every post its number of words, those of the vocabulary as numbers, in order, and their sentences."""
+    number = {w: k for k, w in enumerate(words)}
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n, ws, at = [], [], []
+            for found in _post_words(b, len(fields)):
+                own = sorted((number[w], s) for w, s in found.items() if w in number)
+                n.append(len(found))
+                ws.append([k for k, _ in own])
+                at.append([s for _, s in own])
+            yield pd.DataFrame({"id": b["id"], "n": n, "ws": ws, "at": at})
+
+    return stage(_texts(df, key, fields).mapInPandas(scan, "id long, n int, ws array<int>, at array<int>"))
+
+
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and the length of each."""
+    lengths = lists.map(len).to_numpy(dtype=np.int64)
+    return (np.concatenate(lists.to_list()) if len(lists) else np.zeros(0)).astype(np.int64), lengths
+
 
-    Words of one sentence are not paired: set phrases would look like themes.
+def _runs(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order with the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    start = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, dtype=np.int64)
+    return codes[start], np.add.reduceat(counts, start) if len(start) else counts[:0]
+
+
+def together(posts: DataFrame, size: int, dense: int = DENSE) -> DataFrame:
+    """(a, b, n) with a < b: in how many posts (of :func:`numbered`) two of the ``size`` words stand in different sentences.
+
+    A task sums up before it emits: in a matrix if there are at most ``dense`` words, else in sorted runs; the result is the same.
     """
-    number = {w: k for k, w in enumerate(words)}
-    size = len(words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dense = np.zeros(size * size, dtype=np.int64) if size <= DENSE else None
+        matrix = np.zeros(size * size, dtype=np.int32) if size <= dense else None
+        codes_, counts_ = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         waiting, held = [], 0
+
+        def add() -> None:
+            nonlocal matrix, codes_, counts_
+            new = np.concatenate(waiting)
+            if matrix is not None:
+                matrix += np.bincount(new, minlength=size * size).astype(np.int32)
+            else:
+                new, n = np.unique(new, return_counts=True)
+                codes_, counts_ = _runs(np.concatenate([codes_, new]), np.concatenate([counts_, n]))
+
         for b in batches:
-            ids, where, lengths = [], [], []
-            for found in _post_words(b, len(fields)):
-                own = sorted((number[w], bits) for w, bits in found.items() if w in number)
-                ids.extend(k for k, _ in own)
-                where.extend(bits for _, bits in own)
-                lengths.append(len(own))
-            flat, n, where = np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64), np.array(where, dtype=np.int64)
-            several = (where & (where - 1)) != 0
-            at = np.arange(len(flat))
-            end = np.repeat(np.cumsum(n), n)
-            sparse, d = [], 1
+            flat, n = _flat(b["ws"])
+            where, _ = _flat(b["at"])
+            at, end, d = np.arange(len(flat)), np.repeat(np.cumsum(n), n), 1
             at = at[at + d < end[at]] if len(at) else at
             while len(at):
-                apart = several[at] | (where[at] != where[at + d])
+                apart = (where[at] < 0) | (where[at] != where[at + d])
                 codes = (flat[at] * size + flat[at + d])[apart]
-                if dense is not None:
-                    waiting.append(codes.astype(np.int32))
-                    held += len(codes)
-                    if held >= HELD:
-                        dense += np.bincount(np.concatenate(waiting), minlength=size * size)
-                        waiting, held = [], 0
-                else:
-                    sparse.append(codes)
+                waiting.append(codes)
+                held += len(codes)
+                if held >= HELD:
+                    add()
+                    waiting, held = [], 0
+                    if len(codes_) > HELD:
+                        yield pd.DataFrame({"a": codes_ // size, "b": codes_ % size, "n": counts_})
+                        codes_, counts_ = codes_[:0], counts_[:0]
                 d += 1
                 at = at[at + d < end[at]]
-            if sparse:
-                codes, c = np.unique(np.concatenate(sparse), return_counts=True)
-                yield pd.DataFrame({"a": codes // size, "b": codes % size, "n": c})
-        if dense is not None:
-            if waiting:
-                dense += np.bincount(np.concatenate(waiting), minlength=size * size)
-            codes = np.flatnonzero(dense)
-            yield pd.DataFrame({"a": codes // size, "b": codes % size, "n": dense[codes]})
+        if waiting:
+            add()
+        if matrix is not None:
+            codes_ = np.flatnonzero(matrix)
+            counts_ = matrix[codes_]
+        yield pd.DataFrame({"a": codes_ // size, "b": codes_ % size, "n": counts_})
 
-    pairs = _texts(df, key, fields).mapInPandas(scan, "a int, b int, n long")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOGETHER)
+    pairs = spread(posts.select("ws", "at")).mapInPandas(scan, "a int, b int, n long")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def sure_edges(pairs: DataFrame, words: DataFrame, total: int, usual: float) -> DataFrame:
-    """(a, b, lift) of the pairs that are together more often than chance has it, beyond doubt.
+def word_edges(pairs: DataFrame, words: DataFrame, total: int, usual: float, least: float) -> DataFrame:
+    """(a, b, lift) of the pairs in more than ``least`` posts that are together ``LIFT`` times as often as by chance, beyond doubt.
 
     ``words`` (k, posts) is the vocabulary; ``usual`` is what two words of no connection have (pairs within a
-    sentence do not count, so it is below 1).
+    sentence do not count, so it is below 1). ``lift`` has its error taken off.
     """
     one = words.select(F.col("k").alias("a"), F.col("posts").alias("pa"))
     two = words.select(F.col("k").alias("b"), F.col("posts").alias("pb"))
     chance = F.col("pa") * F.col("pb") / F.lit(float(max(total, 1))) * F.lit(usual)
-    rated = pairs.join(small_side(one), "a").join(small_side(two), "b").select("a", "b", "n", chance.alias("chance"))
-    lift = F.col("n") / F.col("chance")
-    return rated.where((lift >= MIN_LIFT) & ((F.col("n") - F.col("chance")) / F.sqrt("chance") >= MIN_Z)).select("a", "b", lift.alias("lift"))
-
-
-def word_graph(sure: pd.DataFrame, size: int) -> pd.DataFrame:
-    """(a, b, w): of the sure edges (a, b, lift) those near the best either word has, with the logarithm as weight."""
-    if not len(sure):
-        return pd.DataFrame({"a": [], "b": [], "w": []})
-    a, b, lift = sure.a.to_numpy(), sure.b.to_numpy(), sure.lift.to_numpy()
-    # the level of a word: the median of its strongest edges
-    ends, level = np.concatenate([a, b]), np.ones(size)
-    values = np.concatenate([lift, lift])
-    order = np.lexsort((-values, ends))
-    ends, values = ends[order], values[order]
-    starts = np.flatnonzero(np.append(True, ends[1:] != ends[:-1])) if len(ends) else np.array([], dtype=int)
-    for s, e in zip(starts, np.append(starts[1:], len(ends)), strict=True):
-        level[ends[s]] = np.median(values[s : min(e, s + TOP)])
-    near = lift >= NEAR * np.maximum(level[a], level[b])
-    return pd.DataFrame({"a": a[near], "b": b[near], "w": np.log2(lift[near])})
-
-
-def _column_stochastic(entries: DataFrame, inflation: float) -> DataFrame:
-    """Columns j pruned of small entries, inflated and normalised; rows (i, j, v)."""
-    columns = entries.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("v", "i")), asc=False).alias("c"))
-    columns = columns.withColumn("c", F.filter(F.slice("c", 1, KEEP), lambda x: x.v >= F.lit(PRUNE) * F.element_at("c", 1).v))
-    columns = columns.withColumn("c", F.transform("c", lambda x: F.struct(F.pow(x.v, F.lit(inflation)).alias("v"), x.i.alias("i"))))
-    columns = columns.withColumn("t", F.aggregate("c", F.lit(0.0), lambda t, x: t + x.v))
-    return columns.select("j", F.explode("c").alias("x"), "t").select(F.col("x.i").alias("i"), "j", (F.col("x.v") / F.col("t")).alias("v"))
-
-
-def markov_clusters(edges: DataFrame, inflation: float = INFLATION) -> DataFrame:
+    lift = (F.col("n") - ERRORS * F.sqrt(F.col("n").cast("double"))) / chance
+    rated = pairs.where(F.col("n") >= least).join(small_side(one), "a").join(small_side(two), "b")
+    return rated.select("a", "b", lift.alias("lift")).where(F.col("lift") >= LIFT)
+
+
+def word_levels(edges: DataFrame) -> DataFrame:
+    """(k, level): the median lift of the strongest edges of every word that has any."""
+    ends = edges.select(F.col("a").alias("k"), "lift").unionAll(edges.select(F.col("b").alias("k"), "lift"))
+    best = ends.groupBy("k").agg(F.slice(F.sort_array(F.collect_list("lift"), asc=False), 1, STRONGEST).alias("l"))
+    return best.select("k", F.expr("(l[cast((size(l) - 1) div 2 as int)] + l[cast(size(l) div 2 as int)]) / 2").alias("level"))
+
+
+def word_graph(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """(a, b, w): the edges (a, b, lift) weighed against the higher level of their two words."""
+    one, two = levels.select(F.col("k").alias("a"), F.col("level").alias("la")), levels.select(F.col("k").alias("b"), F.col("level").alias("lb"))
+    share = F.least(F.lit(1.0), F.col("lift") / F.greatest("la", "lb"))
+    return edges.join(small_side(one), "a").join(small_side(two), "b").select("a", "b", F.pow(share, F.lit(float(POWER))).alias("w"))
+
+
+def _product(left: pd.DataFrame, right: pd.DataFrame, first: int, second: int, block: int) -> pd.DataFrame:
+    """The block of the product of two matrices (i, j, v): rows from ``first``, columns from ``second`` on, ``block`` of each."""
+    left = left.sort_values("j", kind="stable")
+    k, i, u = left.j.to_numpy(), left.i.to_numpy() - first, left.v.to_numpy()
+    m, j, v = right.i.to_numpy(), right.j.to_numpy() - second, right.v.to_numpy()
+    start, stop = np.searchsorted(k, m, "left"), np.searchsorted(k, m, "right")
+    width, out = stop - start, np.zeros(block * block)
+    upto = np.cumsum(width)
+    a = 0
+    while a < len(m):  # entries of the right factor whose products are made at once
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PRODUCTS, "right")))
+        w = width[a:b]
+        at = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w) + np.repeat(start[a:b], w)
+        codes = i[at].astype(np.int64) * block + np.repeat(j[a:b], w)
+        out += np.bincount(codes, u[at] * np.repeat(v[a:b], w), minlength=block * block)
+        a = b
+    found = np.flatnonzero(out)
+    return pd.DataFrame({"i": first + found // block, "j": second + found % block, "v": out[found]})
+
+
+def _stochastic(entries: DataFrame, inflation: float, block: int) -> DataFrame:
+    """The columns j of (i, j, v) inflated, normalised, pruned of entries below ``PRUNE`` and normalised again."""
+
+    def columns(g: pd.DataFrame) -> pd.DataFrame:
+        i, v = g.i.to_numpy(), g.v.to_numpy() ** inflation
+        names, j = np.unique(g.j.to_numpy(), return_inverse=True)
+        v = v / np.bincount(j, v)[j]
+        top = np.zeros(len(names))
+        np.maximum.at(top, j, v)
+        keep = (v >= PRUNE) | (v == top[j])  # a column never becomes empty
+        i, j, v = i[keep], j[keep], v[keep]
+        return pd.DataFrame({"i": i, "j": names[j], "v": v / np.bincount(j, v)[j]})
+
+    blocks = entries.select("i", "j", "v", F.floor(F.col("j") / block).cast("int").alias("z"))
+    return blocks.groupBy("z").applyInPandas(columns, "i int, j int, v double")
+
+
+def squared(flow: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
+    """(i, j, v): the matrix times itself, a task for every block of the result, which gets its rows and its columns."""
+    blocks = -(-size // block)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = flow.select("i", "j", "v", F.floor(F.col("i") / block).cast("int").alias("x"), every.alias("z"), F.lit(True).alias("left"))
+    columns = flow.select("i", "j", "v", every.alias("x"), F.floor(F.col("j") / block).cast("int").alias("z"), F.lit(False).alias("left"))
+
+    def multiply(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return _product(g[g.left], g[~g.left], key[0] * block, key[1] * block, block)
+
+    return rows.unionAll(columns).groupBy("x", "z").applyInPandas(multiply, "i int, j int, v double")
+
+
+def markov_clusters(edges: DataFrame, inflation: float = INFLATION, block: int = BLOCK) -> DataFrame:
     """(j, i, v): the limit of the Markov process on a graph (a, b, w): the flow of every node to its attractors.
 
-    Each node gets a loop as heavy as its heaviest edge. The process ends when no column changes any more, at
-    the latest after ``ROUNDS`` rounds. No edges: an empty table.
+    Each node gets a loop as heavy as its heaviest edge. The process ends when no column changes any more. No edges:
+    an empty table.
     """
-    both = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("w").alias("v"))
-    both = both.unionAll(edges.select(F.col("b").alias("i"), F.col("a").alias("j"), F.col("w").alias("v")))
+    both = edges.select(F.col("a").cast("int").alias("i"), F.col("b").cast("int").alias("j"), F.col("w").cast("double").alias("v"))
+    both = both.unionAll(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     loops = both.groupBy("j").agg(F.max("v").alias("v")).select(F.col("j").alias("i"), "j", "v")
-    flow = cut(_column_stochastic(both.unionAll(loops), 1.0))
-    for _ in range(ROUNDS):
-        left = flow.select("i", F.col("j").alias("k"), F.col("v").alias("u"))
-        right = flow.select(F.col("i").alias("k"), "j", "v")
-        squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("v"))
-        flow = cut(_column_stochastic(squared, inflation))
+    flow = cut(_stochastic(both.unionAll(loops), 1.0, block))
+    size = (flow.agg(F.max("j")).first()[0] if not flow.isEmpty() else -1) + 1
+    for _ in range(ROUNDS if size else 0):
+        flow = cut(_stochastic(squared(flow, size, block), inflation, block))
         columns = flow.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("chaos"))
-        if (columns.agg(F.max("chaos")).first()[0] or 0.0) < STILL:
-            break
+        if columns.agg(F.max("chaos")).first()[0] < STILL:
+            return flow
+    if size:
+        raise RuntimeError(f"still moving after {ROUNDS} rounds")
     return flow
 
 
-def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SHARE, inflation: float = INFLATION) -> dict:
-    """The clusters of words and what every word says of them, with ``more``: models of what earlier ones leave over.
-
-    Themes whose words are too rare among all posts are looked for among the posts that hold no word of any cluster,
-    again until a pass finds nothing. There a word counts only if most of its posts are left over.
-    """
-    first = _pass_model(df, key, fields, min_share, inflation)
-    first["more"], left, latest, known = [], df, first, dict(zip(first["words"], first["posts"], strict=True))
-    while latest["cores"]:
-        left = stage(_left_over(left, key, fields, latest))
-        latest = _pass_model(left, key, fields, min_share, inflation, (first["total"], first["usual"], known))
-        if latest["cores"]:
-            first["more"].append(latest)
-    return first
-
-
-def _left_over(df: DataFrame, key: str, fields: list[str], model: dict) -> DataFrame:
-    """The posts (key, fields) that hold words, but none of a cluster."""
-    members = {w for w, c in zip(model["words"], model["member"], strict=True) if c >= 0}
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[np.array([bool(found) and members.isdisjoint(found) for found in _post_words(b, len(fields))], dtype=bool)]
-
-    texts = _texts(df, key, fields)
-    left = texts.mapInPandas(scan, texts.schema)
-    return left.select(F.col("id").alias(key), *(F.col(f"t{k}").alias(f) for k, f in enumerate(fields)))
+def _systems(flow: pd.DataFrame, size: int) -> np.ndarray:
+    """The attractor system of each word (its smallest word), -1 for words that are no nodes."""
+    best = flow.sort_values(["j", "v", "i"], ascending=[True, False, True]).drop_duplicates("j")
+    root = np.arange(size)
+    root[best.j.to_numpy()] = best.i.to_numpy()
+    pairs = best[best.i != best.j]
+    while True:  # nodes of one system hang together through the attractors they flow to
+        new = root.copy()
+        np.minimum.at(new, pairs.i.to_numpy(), root[pairs.j.to_numpy()])
+        np.minimum.at(new, pairs.j.to_numpy(), root[pairs.i.to_numpy()])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    out = np.full(size, -1)
+    out[best.j.to_numpy()] = root[best.j.to_numpy()]
+    return out
 
 
-def _pass_model(df: DataFrame, key: str, fields: list[str], min_share: float, inflation: float, whole: tuple[int, float, dict] | None = None) -> dict:
-    """One pass of :func:`theme_model`; ``whole`` is what chance is measured by: the number of all posts, what is usual, and the posts of known words.
+def theme_model(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SHARE, inflation: float = INFLATION) -> list[dict]:
+    """The passes over the posts: each with the words of its themes (``cores``) and every post's flow to them (``flows``, a staged table).
 
-    words: the vocabulary; member: cluster number of each word or -1; affinity: words x clusters, the logarithm
-    of how much more often than by chance a word shares a post with the words of a cluster; cores: the words of
-    each cluster, the strongest flow first. Clusters are numbered by the posts their words stand in.
+    Themes whose words are too rare among all posts are looked for among the posts left over, those that hold at most
+    one word of their cluster, again until a pass finds nothing. There a word counts only if most of its posts are
+    left over. An empty table gives one pass without themes.
     """
+    passes, left, whole = [], df, None
+    while True:
+        latest = _pass_model(left, key, fields, min_share, inflation, whole)
+        if passes and not latest["cores"]:
+            return passes
+        passes.append(latest)
+        if not latest["cores"]:
+            return passes
+        whole = whole or (latest["total"], latest["usual"], dict(zip(latest["words"], latest["posts"], strict=True)))
+        over = latest["flows"].where("n > 0 and (size(flows) = 0 or flows[0].words < 2)").select(F.col("id").alias(key)).distinct()
+        left = stage(left.select(key, *fields).join(small_side(over), key, "left_semi"))
+
+
+def _pass_model(df: DataFrame, key: str, fields: list[str], min_share: float, inflation: float, whole: tuple[int, float, dict] | None) -> dict:
+    """One pass of :func:`theme_model`; ``whole`` is what chance is measured by: the number of all posts, what is usual, and the posts of known words."""
     spark = df.sparkSession
     vocab, total = vocabulary(df, key, fields, min_share)
-    least = max(MIN_POSTS, min_share * total)
+    own = total
     if whole:
         vocab = vocab[np.array([n >= 0.5 * whole[2].get(w, 0) for w, n in zip(vocab.word, vocab.posts, strict=True)], dtype=bool)]
         total = whole[0]
     words, posts = vocab.word.tolist(), vocab.posts.to_numpy().astype(float)
-    empty = {"words": words, "member": np.full(len(words), -1), "affinity": np.zeros((len(words), 0), dtype=np.float32), "cores": [], "posts": posts, "total": total, "usual": 1.0}
+    rows = numbered(df, key, fields, words)
+    none = rows.select("id", "n", F.expr("cast(array() as array<struct<cluster: int, flow: double, words: int>>)").alias("flows"))
+    model = {"words": words, "posts": posts, "total": total, "usual": 1.0, "cores": [], "flows": none}
     if not words:
-        return empty
-    pairs = stage(together(df, key, fields, words))
+        return model
+    pairs = stage(together(rows, len(words)))
     all_pairs = float(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    usual = whole[1] if whole else all_pairs * total / max(float((posts.sum() ** 2 - (posts**2).sum()) / 2), 1.0)
+    model["usual"] = usual = whole[1] if whole else all_pairs * total / max(float((posts.sum() ** 2 - (posts**2).sum()) / 2), 1.0)
     listed = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(words), dtype=np.int32), "posts": posts}), "k int, posts double")
-    graph = word_graph(sure_edges(pairs, listed, total, usual).toPandas(), len(words))
-    if not len(graph):
-        return empty
-    flow = markov_clusters(spark.createDataFrame(graph, "a int, b int, w double"), inflation)
-    best = flow.groupBy("j").agg(F.max(F.struct("v", (-F.col("i")).alias("i"))).alias("m")).select("j", (-F.col("m.i")).alias("i"), F.col("m.v").alias("v"))
-    best = cut(best)
-    # nodes of one attractor system hang together through the attractors they flow to
-    links = best.where("i != j").select(F.least("i", "j").cast("long").alias("a"), F.greatest("i", "j").cast("long").alias("b")).distinct()
-    groups = connected_groups(links)
-    found = best.join(groups, F.col("j") == F.col("row_id"), "left").select("j", F.coalesce("group_id", "j").alias("cluster"), "v").toPandas()
-
-    system = np.full(len(words), -1)
-    system[found.j.to_numpy()] = found.cluster.to_numpy()
-    # how often each word is together with the words of each attractor system: at most words x systems sums
-    of = spark.createDataFrame(pd.DataFrame({"k": np.flatnonzero(system >= 0).astype(np.int32), "c": system[system >= 0].astype(np.int32)}), "k int, c int")
-    of = small_side(of)
-    both = pairs.select("a", "b", "n").unionAll(pairs.select("b", "a", "n"))
-    sums = both.join(of, both.b == of.k).groupBy("a", "c").agg(F.sum("n").alias("n"))
-    names, sizes = np.unique(system[system >= 0], return_counts=True)
-    large = [int(c) for c in names[sizes >= MIN_WORDS]]
-    sums = sums.where(F.col("c").isin(large)).toPandas() if large else pd.DataFrame({"a": [], "c": [], "n": []}).astype(int)
-    # a theme has many words, and they lift each other; set phrases and chance do not
-    keep = []
-    own = sums[system[sums.a.to_numpy()] == sums.c.to_numpy()].groupby("c").n.sum() / 2
-    for c in large:
-        k = posts[system == c]
-        chance = (k.sum() ** 2 - (k**2).sum()) / 2 / total * usual
-        if own.get(c, 0) / max(chance, 1e-9) >= MIN_LEVEL:
-            keep.append((-k.sum(), c))
-    keep = [c for _, c in sorted(keep)]
-    number = {c: k for k, c in enumerate(keep)}
-    member = np.array([number.get(c, -1) for c in system])
-    count = np.zeros((len(words), len(keep)))
-    sums = sums[sums.c.isin(keep)]
-    count[sums.a.to_numpy(), sums.c.map(number).to_numpy(dtype=np.int64)] = sums.n.to_numpy()
-    mass = np.array([posts[member == k].sum() for k in range(len(keep))])
-    expected = posts[:, None] / total * usual * (mass[None, :] - np.where(member[:, None] == np.arange(len(keep))[None, :], posts[:, None], 0.0))
-    affinity = np.log((count + 1.0) / (expected + 1.0)).clip(*CLIP).astype(np.float32)
-    found = found.sort_values(["v", "j"], ascending=[False, True])
-    cores = [[words[j] for j in found.j if member[j] == k] for k in range(len(keep))]
-    model = {"words": words, "member": member, "affinity": affinity, "cores": cores, "posts": posts, "total": total, "usual": usual}
-    affinity, held = _through_posts(df, key, fields, model, posts, total)
-    # what remains of a language's common words after the step holds next to no posts
-    real = np.flatnonzero(held >= (least if whole else min_share * total))
-    to = np.full(len(held) + 1, -1)
-    to[real] = np.arange(len(real))
-    return model | {"member": to[member], "affinity": affinity[:, real], "cores": [cores[k] for k in real]}
-
-
-def _reach(found: dict[str, int], number: dict[str, int], model: dict) -> tuple[np.ndarray, int, np.ndarray]:
-    """(vocabulary words of a post, how many of them belong to clusters, the flow to each cluster)."""
-    own = np.array(sorted(number[w] for w in found if w in number), dtype=np.int64)
-    return own, int((model["member"][own] >= 0).sum()) if len(own) else 0, model["affinity"][own].sum(axis=0)
-
-
-def _through_posts(df: DataFrame, key: str, fields: list[str], model: dict, posts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The affinities after one more step of the flow, word -> post -> cluster, and the posts of each cluster.
-
-    Words that all posts of a language share then no longer speak for the cluster they happened to be in.
+    edges = cut(word_edges(pairs, listed, total, usual or 1.0, PAIR_SHARE * min_share * own))
+    levels = cut(word_levels(edges))
+    limit = markov_clusters(word_graph(edges, levels), inflation).toPandas()  # as many entries as there are words
+    if not len(limit):
+        return model
+    system = _systems(limit, len(words))
+    # a theme's words lift each other; what is left of chance does not
+    of = small_side(spark.createDataFrame(pd.DataFrame({"k": np.flatnonzero(system >= 0).astype(np.int32), "c": system[system >= 0].astype(np.int32)}), "k int, c int"))
+    inner = pairs.join(of.select(F.col("k").alias("a"), "c"), "a").join(of.select(F.col("k").alias("b"), F.col("c").alias("d")), "b").where("c = d")
+    shared = inner.groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    mass = lambda v: np.bincount(system[system >= 0], v[system >= 0], minlength=len(words))
+    chance = (mass(posts) ** 2 - mass(posts**2)) / 2 / total * usual
+    real = [int(c) for c, n in zip(shared.c, shared.n, strict=True) if n >= LIFT * chance[c]]
+    level = np.zeros(len(words))
+    ranked = levels.toPandas()
+    level[ranked.k.to_numpy()] = ranked.level.to_numpy()
+    flows = stage(_flows(rows, edges.toPandas(), limit, system, level, real))
+    first = flows.where("size(flows) > 0").groupBy(F.col("flows")[0].cluster.alias("c")).agg(F.count("*").alias("n")).toPandas()
+    held = first[first.n >= max(MIN_POSTS, min_share * own)].sort_values(["n", "c"], ascending=[False, True])
+    number = {int(c): k for k, c in enumerate(held.c)}
+    renamed = F.expr(f"map({', '.join(f'{c}, {k}' for c, k in number.items())})") if number else F.expr("cast(map() as map<int, int>)")
+    known = F.filter("flows", lambda x: F.map_contains_key(renamed, x.cluster))
+    model["flows"] = flows.select("id", "n", F.transform(known, lambda x: F.struct(renamed[x.cluster].alias("cluster"), x.flow.alias("flow"), x.words.alias("words"))).alias("flows"))
+    strongest = limit.sort_values(["v", "j"], ascending=[False, True]).j.drop_duplicates()
+    model["cores"] = [[words[j] for j in strongest if system[j] == c] for c in held.c]
+    return model
+
+
+def _flows(rows: DataFrame, edges: pd.DataFrame, limit: pd.DataFrame, system: np.ndarray, level: np.ndarray, real: list[int]) -> DataFrame:
+    """(id, n, flows): of every post its column, multiplied with the limit, by attractor system: (cluster, flow, words), most flow first.
+
+    ``words`` is how many words of the system the post holds. Only the systems ``real`` take part.
     """
-    n_words, n_clusters = model["affinity"].shape
-    if not n_clusters:
-        return model["affinity"], np.zeros(0)
-    number = {w: k for k, w in enumerate(model["words"])}
+    size = len(system)
+    a, b, lift = edges.a.to_numpy(dtype=np.int64), edges.b.to_numpy(dtype=np.int64), edges.lift.to_numpy()
+    codes = a * size + b
+    order = np.argsort(codes)
+    part = np.isin(system, real)
+    limit = limit[part[limit.i.to_numpy()] & part[limit.j.to_numpy()]].sort_values("j", kind="stable")
+    table = (codes[order], lift[order], limit.j.to_numpy(), system[limit.i.to_numpy()], limit.v.to_numpy(), part, level, system)
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # of the words and their edges, bounded whatever the number of posts
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = np.zeros((n_words + 1, n_clusters))
-        for b in batches:
-            for found in _post_words(b, len(fields)):
-                own, core, reach = _reach(found, number, model)
-                if core:
-                    best = int(np.argmax(reach))
-                    count[own, best] += 1
-                    count[n_words, best] += 1
-        w, c = np.nonzero(count)
-        yield pd.DataFrame({"w": w, "c": c, "n": count[w, c]})
-
-    parts = _texts(df, key, fields).mapInPandas(scan, "w int, c int, n double")
-    got = parts.groupBy("w", "c").agg(F.sum("n").alias("n")).toPandas()  # at most words x clusters
-    count = np.zeros((n_words + 1, n_clusters))
-    count[got.w.to_numpy(), got.c.to_numpy()] = got.n.to_numpy()
-    expected = posts[:, None] * count[n_words][None, :] / max(total, 1)
-    return np.log((count[:n_words] + 0.5) / (expected + 0.5)).clip(*CLIP).astype(np.float32), count[n_words]
-
-
-def themes(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SHARE, inflation: float = INFLATION, model: dict | None = None) -> DataFrame:
-    """One row per post: key, cluster, flow and words (of the clusters, in the post).
-
-    The cluster is the one with the strongest flow, the sum of the affinities of the post's words; ``flow`` is
-    its share against the other clusters. cluster is null for posts that hold no word of any cluster (null,
-    blank, remarks). Of the models of several passes the one counts of whose clusters the post holds most words (of equals
-    the earlier); its clusters are numbered after those of earlier ones. Repeated rows give repeated results; an empty table gives an empty table.
+        codes, lift, column, into, share, part, level, system = shared.value
+        begin, stop = np.searchsorted(column, np.arange(size), "left"), np.searchsorted(column, np.arange(size), "right")
+        for batch in batches:
+            flat, lengths = _flat(batch["ws"])
+            post = np.repeat(np.arange(len(batch)), lengths)
+            keep = part[flat] if len(flat) else np.zeros(0, dtype=bool)
+            w, post = flat[keep], post[keep]
+            ties, end = np.zeros(len(w)), np.searchsorted(post, post, "right")
+            at, d = np.arange(len(w)), 1
+            at = at[at + d < end[at]] if len(at) else at
+            while len(at):
+                code = w[at] * size + w[at + d]
+                k = np.searchsorted(codes, code).clip(0, max(len(codes) - 1, 0))
+                tie = np.where(codes[k] == code, lift[k], 0.0)
+                ties[at] += tie
+                ties[at + d] += tie
+                d += 1
+                at = at[at + d < end[at]]
+            tied = np.bincount(post, ties, minlength=len(batch))[post] > 0 if len(w) else ties > 0
+            mass = np.where(tied, ties, 1.0) * level[w] ** POWER
+            # the product with the limit: every word's mass goes where the word's column goes
+            width = stop[w] - begin[w]
+            pick = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(begin[w], width)
+            owner, goal, value = np.repeat(post, width), into[pick], np.repeat(mass, width) * share[pick]
+            key, where = np.unique(np.concatenate([owner * size + goal, post * size + system[w]]), return_inverse=True)
+            reach = np.bincount(where[: len(owner)], value, minlength=len(key))
+            words = np.bincount(where[len(owner) :], minlength=len(key))
+            owner, goal = key // size, key % size
+            some = reach > 0
+            owner, goal, reach, words = owner[some], goal[some], reach[some], words[some]
+            reach = reach / np.bincount(owner, reach, minlength=len(batch))[owner]
+            best = np.lexsort((goal, -words, -reach, owner))
+            lists: list[list] = [[] for _ in range(len(batch))]
+            for o, c, f, n in zip(owner[best].tolist(), goal[best].tolist(), reach[best].tolist(), words[best].tolist(), strict=True):
+                lists[o].append({"cluster": c, "flow": f, "words": n})
+            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "flows": lists})
+
+    return spread(rows.select("id", "n", "ws")).mapInPandas(scan, "id long, n int, flows array<struct<cluster: int, flow: double, words: int>>")
+
+
+def themes(df: DataFrame, key: str, fields: list[str], min_share: float = MIN_SHARE, inflation: float = INFLATION, model: list[dict] | None = None) -> DataFrame:
+    """One row per post: key, cluster, flow and words (of the cluster, in the post).
+
+    The cluster is the attractor system with most of the post's flow, ``flow`` its share. cluster is null for posts
+    that hold no word of any cluster (null, blank, remarks). A post left over by one pass (see :func:`theme_model`)
+    is in a cluster of a later one if it holds at least two of its words; clusters of later passes are numbered after
+    those of earlier ones. Null ids are ids of their own. Repeated rows give repeated results; an empty table gives an
+    empty table.
     """
     model = model or theme_model(df, key, fields, min_share, inflation)
-    models, first = [], 0
-    for m in (model, *model.get("more", [])):
-        models.append((m, {w: k for k, w in enumerate(m["words"])}, first))
-        first += len(m["cores"])
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            clusters, flows, counts = [], [], []
-            for found in _post_words(b, len(fields)):
-                tried = [(*_reach(found, number, m)[1:], first) for m, number, first in models]
-                core, reach, first = max(tried, key=lambda t: t[0])
-                counts.append(core)
-                if not core:
-                    clusters.append(None)
-                    flows.append(None)
-                    continue
-                best = int(np.argmax(reach))
-                clusters.append(first + best)
-                flows.append(float(1.0 / np.exp(np.minimum(reach - reach[best], 0.0)).sum()))
-            yield pd.DataFrame({"id": b["id"], "cluster": pd.array(clusters, dtype="Int32"), "flow": pd.array(flows, dtype="Float64"), "words": counts})
-
-    assigned = _texts(df, key, fields).mapInPandas(assign, "id long, cluster int, flow double, words int")
-    return assigned.withColumnRenamed("id", key)
-
-
-def theme_report(assigned: DataFrame, key: str, model: dict, typical: int = 5) -> DataFrame:
+    first = F.get("flows", F.lit(0))
+    out = model[0]["flows"].select(F.col("id").alias(key), first.cluster.alias("cluster"), first.flow.alias("flow"), F.coalesce(first.words, F.lit(0)).alias("words"))
+    base = len(model[0]["cores"])
+    for m in model[1:]:
+        found = m["flows"].select(F.col("id").alias(key), F.struct(first.words.alias("words"), first.flow.alias("flow"), (first.cluster + base).alias("cluster")).alias("later"))
+        found = found.where("later.words > 1").groupBy(key).agg(F.max("later").alias("later"))
+        out = out.join(small_side(found), key, "left")
+        moved = F.col("later").isNotNull() & (F.col("words") < 2)
+        out = out.select(key, *(F.when(moved, F.col(f"later.{c}")).otherwise(F.col(c)).alias(c) for c in ("cluster", "flow", "words")))
+        base += len(m["cores"])
+    return out
+
+
+def theme_report(assigned: DataFrame, key: str, model: list[dict], typical: int = 5) -> DataFrame:
     """One row per cluster: cluster, size, its first words, and the ``typical`` posts with the strongest flow."""
     spark = assigned.sparkSession
     assigned = cut(assigned)  # read twice, made once
@@ -369,7 +436,7 @@ def theme_report(assigned: DataFrame, key: str, model: dict, typical: int = 5) -
     sizes = assigned.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("size"))
     ranked = assigned.where("cluster is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)
     best = ranked.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("rank", key))).alias("r")).select("cluster", F.col(f"r.{key}").alias("typical"))
-    names = spark.createDataFrame([(k, ", ".join(c[:8])) for k, c in enumerate(c for m in (model, *model.get("more", [])) for c in m["cores"])], "cluster int, terms string")
+    names = spark.createDataFrame([(k, ", ".join(c[:8])) for k, c in enumerate(c for m in model for c in m["cores"])], "cluster int, terms string")
     return sizes.join(best, "cluster").join(names, "cluster", "left")
 
 

@@ -225,9 +225,10 @@ def test_term_frequencies(spark, monkeypatch, limit):
 # -- themes ------------------------------------------------------------------------------------------------------
 
 
-def test_markov_clusters_of_two_cliques(spark):
+@pytest.mark.parametrize("block", [4, 2048])
+def test_markov_clusters_of_two_cliques(spark, block):
     edges = [(a, b, 1.0) for a in range(5) for b in range(a + 1, 5)] + [(a, b, 1.0) for a in range(5, 11) for b in range(a + 1, 11)] + [(4, 5, 0.2)]
-    flow = themes.markov_clusters(spark.createDataFrame(edges, "a int, b int, w double")).collect()
+    flow = themes.markov_clusters(spark.createDataFrame(edges, "a int, b int, w double"), block=block).collect()
     reached = {}
     for r in flow:
         if r.v > 0.01:
@@ -259,10 +260,26 @@ def test_themes(spark):
     assert themes.themes(df.limit(0), "row_id", ["Title", "Snippet"]).count() == 0
 
 
-def test_no_sure_edges_give_no_graph():
-    import pandas as pd
-
-    assert len(themes.word_graph(pd.DataFrame({"a": [], "b": [], "lift": []}), 5)) == 0
+@pytest.mark.parametrize("dense", [5000, 0])
+def test_words_together(spark, dense):
+    texts = ["a b. c a", "a b", "b. a. b c", None, "", "c. c b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id long, Title string")
+    rows = themes.numbered(df, "row_id", ["Title"], ["a", "b", "c"])
+    assert {r.id: (r.n, r.ws, r["at"]) for r in rows.collect()}[0] == (3, [0, 1, 2], [-1, 0, 1])
+    got = {(r.a, r.b): r.n for r in themes.together(rows, 3, dense).collect()}
+    assert got == {(0, 1): 2, (0, 2): 2, (1, 2): 3}
+
+
+@pytest.mark.parametrize("block", [3, 8, 2048])
+def test_squared_matrix(spark, block):
+    rng = np.random.default_rng(5)
+    m = rng.random((11, 11)) * (rng.random((11, 11)) < 0.4)
+    flow = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i int, j int, v double")
+    got = np.zeros((11, 11))
+    for r in themes.squared(flow, 11, block).collect():
+        assert not got[r.i, r.j]
+        got[r.i, r.j] = r.v
+    assert np.allclose(got, m @ m)
 
 
 def test_small_themes_are_found_among_the_rest(spark):
