@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions.text import candidate_line, first_sentence, jaccard, same_line_key, stripped, summary_tokens
 from headwater.functions.vectors import centroids, cosine, dot
+from headwater.plans.joins import small_side
 
 
 def kmeans(df: DataFrame, k: int = 6, key: str = "row_id", vector: str = "embedding", seed: int = 42, restarts: int = 10) -> DataFrame:
@@ -18,7 +19,7 @@ def kmeans(df: DataFrame, k: int = 6, key: str = "row_id", vector: str = "embedd
     try:
         if data.limit(k).count() < k:
             raise ValueError(f"fewer than {k} rows")
-        models = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol="Cluster").fit(data) for r in range(restarts)]
+        models = [KMeans(k=k, seed=seed + r, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="Cluster").fit(data) for r in range(restarts)]
         best = min(models, key=lambda m: m.summary.trainingCost)
     finally:
         data.unpersist()
@@ -39,7 +40,7 @@ def central(df: DataFrame, k: int = 5, key: str = "row_id", cluster: str = "Clus
     """(cluster, rank, key, score): the ``k`` rows nearest to each cluster's mean, by product or cosine (6 digits); ties take the larger key."""
     means = centroids(df, cluster, vector)
     by = {"dot": dot, "cosine": cosine}[measure]
-    scored = df.join(F.broadcast(means), cluster).select(cluster, key, F.round(by(F.col("centroid"), F.col(vector)), 6).alias("score"))
+    scored = df.join(small_side(means, 20_000), cluster).select(cluster, key, F.round(by(F.col("centroid"), F.col(vector)), 6).alias("score"))
     w = Window.partitionBy(cluster).orderBy(F.desc("score"), F.desc(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(cluster, "rank", key, "score")
 

@@ -26,8 +26,9 @@ def components(links: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     edges = cut(links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v").distinct())
     while True:
         new = cut(_star(_star(edges, True), False))
-        # stars whose leaves all hang on their root no longer change
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        # stars whose leaves all hang on their root no longer change: every edge is there before and after
+        both = edges.select("u", "v", F.lit(1).alias("o")).unionAll(new.select("u", "v", F.lit(-1).alias("o")))
+        if both.groupBy("u", "v").agg(F.sum("o").alias("o")).where("o != 0").isEmpty():
             break
         edges = new
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

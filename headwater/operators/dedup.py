@@ -1,10 +1,8 @@
 """Near duplicates by vectors: pairs, groups, survivors and a summary.
 
-The similarity join is exact. Vectors are put at length one, where cosine and distance say the same, and every
-vector lives in the cell of its nearest pivot. Two vectors within the distance meet in a cell when one also
-visits the cells whose pivot is no farther than its own plus twice the distance (triangle inequality), so only
-neighbouring cells are compared; a cell that grew hot is split by AQE. Where cells do not separate (the hashed
-vectors of posts), ``similar_in_blocks`` compares every pair by products of matrices.
+The similarity join of vectors is exact: vectors at length one are multiplied block by block in single precision, and
+what comes near the threshold is decided in double precision. Dense vectors of few dimensions leave nothing to filter
+by (every pivot's cell is visited by every vector), so the join is quadratic, as products of matrices.
 """
 
 from __future__ import annotations
@@ -16,11 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwater.functions.vectors import dot, norm, unit
 from headwater.operators.components import components
 from headwater.plans.lineage import cut
 
-PIVOTS = 64
 BLOCK, ROWS, COLUMNS, SLACK = 170_000, 512, 1024, 1e-5  # rows of a block, of a tile, and the most a single-precision cosine is off
 
 
@@ -29,25 +25,6 @@ def eligible(df: DataFrame, title: str = "Title", snippet: str = "Snippet", min_
     return df.where(F.length(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")))) >= min_chars)
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.90, pivots: int = PIVOTS) -> DataFrame:
-    """(similarity, i, j) with i < j of all rows whose cosine is at least ``threshold``; zero vectors have none."""
-    rows = cut(df.select(F.col(key).alias("id"), unit(F.col(vector)).alias("v")).where(norm(F.col("v")) > 0))
-    # any pivots are right; these are a few vectors by hash, a bounded number whatever the data
-    chosen = [r.v for r in rows.orderBy(F.xxhash64("id")).limit(pivots).collect()]
-    if not chosen:
-        return rows.select(F.lit(0.0).alias("similarity"), F.col("id").alias("i"), F.col("id").alias("j")).limit(0)
-    places = F.array(*(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("v"), F.array(*map(F.lit, p))))) for p in chosen))
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    placed = cut(rows.select("id", "v", places.alias("d")).withColumn("own", F.array_min("d")))
-    home = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), (F.array_position("d", F.col("own")) - 1).cast("int").alias("cell"), F.col("own").alias("da"))
-    cells = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda c: F.get(F.col("d"), c) <= F.col("own") + 2 * reach)
-    visits = placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(cells).alias("cell"), "d")
-    visits = visits.withColumn("db", F.get("d", F.col("cell"))).drop("d")
-    met = home.join(visits, "cell").where((F.col("a") != F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= reach))
-    scored = met.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), dot(F.col("va"), F.col("vb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold).groupBy("i", "j").agg(F.max("similarity").alias("similarity")).select("similarity", "i", "j")
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -79,8 +56,8 @@ def _similar_rows(v: np.ndarray, ids: np.ndarray, first: np.ndarray, second: np.
     return tuple(np.concatenate(k) for k in zip(*found, strict=True))
 
 
-def similar_in_blocks(df: DataFrame, key: str, vector: str, threshold: float = 0.90, block: int = BLOCK) -> DataFrame:
-    """As :func:`similar_vectors`, with every pair of rows compared: exact, and quadratic in the rows.
+def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.90, block: int = BLOCK) -> DataFrame:
+    """(similarity, i, j) with i < j of all rows whose cosine is at least ``threshold``: exact, and quadratic in the rows.
 
     Rows are dealt into blocks by hash, every two blocks meet in one task. ``key`` is a unique number; null and
     zero vectors have no partner.
@@ -111,7 +88,8 @@ def duplicate_groups(pairs: DataFrame, rows: DataFrame, key: str = "row_id") ->
     """
     found = components(pairs)
     starts = rows.select(F.col(key).alias("node")).join(found, "node", "left").where("component is null or component = node").select("node")
-    order = starts.repartitionByRange("node").withColumn("part", F.spark_partition_id())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that no use of it is coalesced another way
+    order = cut(starts).repartitionByRange(parts, "node").withColumn("part", F.spark_partition_id())
     local = order.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("node")))
     sizes = local.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row per partition

@@ -26,22 +26,24 @@ def kwic_search(
     if clusters is not None:
         wanted = [int(clusters)] if not isinstance(clusters, (list, tuple, set)) else [int(c) for c in clusters]
         df = df.where(F.col(cluster).isin(wanted))
-    found = ensure_text(df, title, snippet).select(F.col(key).alias("id"), "_text_norm")
-    kind = df.schema[key].dataType.simpleString()
+    about = [c for c in dict.fromkeys((key, cluster, title, *extra))]
+    found = ensure_text(df, title, snippet).select(*about, F.col("_text_norm").alias("__hw_text"))
+    out_columns = [*dict.fromkeys((key, "match_no", cluster, title, "Left", "Match", "Right", *extra))]
+    kinds = {c: df.schema[c].dataType.simpleString() for c in about} | {"match_no": "int", "Left": "string", "Match": "string", "Right": "string"}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search = re.compile(pattern, 0 if case else re.IGNORECASE)
         for b in batches:
-            rows = []
-            for i, text in zip(b["id"], b["_text_norm"], strict=True):
+            at, rows = [], []
+            for i, text in enumerate(b["__hw_text"]):
                 for k, m in enumerate(search.finditer(text or "")):
                     a, e = m.span()
-                    rows.append((i, k, text[max(0, a - window) : a], m.group(), text[e : e + window]))
-            yield pd.DataFrame(rows, columns=["id", "match_no", "Left", "Match", "Right"])
+                    at.append(i)
+                    rows.append((k, text[max(0, a - window) : a], m.group(), text[e : e + window]))
+            matches = pd.DataFrame(rows, columns=["match_no", "Left", "Match", "Right"])
+            yield pd.concat([b[about].iloc[at].reset_index(drop=True), matches], axis=1)[out_columns]
 
-    matches = spread(found).mapInPandas(scan, f"id {kind}, match_no int, Left string, Match string, Right string")
-    named = df.select(F.col(key).alias("id"), F.col(cluster).alias(cluster), F.col(title).alias(title), *extra)
-    out = matches.join(named, "id").select(F.col("id").alias(key), "match_no", cluster, title, "Left", "Match", "Right", *extra)
+    out = spread(found).mapInPandas(scan, ", ".join(f"`{c}` {kinds[c]}" for c in out_columns))
     return out if max_rows is None else out.orderBy(key, "match_no").limit(max_rows)
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions.text import stripped
 
-NO_BULLETS = "No takeaways could be read from the reply."
+NO_BULLETS = "- No significant trends identified."  # fixed value: what stands for a reply without bullets
 
 
 class TooManyRequests(Exception):
@@ -31,15 +31,15 @@ def summary_prompt(texts: Column) -> Column:
 
 
 def parse_summary(df: DataFrame, reply: str = "reply", cluster: str = "Cluster") -> DataFrame:
-    """``df`` with summary, detailed and short; without the three marks the first 200 characters and made-up labels."""
+    """``df`` with summary, detailed and short; without the marks of the two labels the first 200 characters and made-up labels."""
     r = F.coalesce(reply, F.lit(""))
     after = lambda mark: F.split(r, mark, 2)
-    marked = r.contains("Summary:") & r.contains("Detailed Label:") & r.contains("Short Label:")
+    marked = r.contains("Detailed Label:") & r.contains("Short Label:")
     part = lambda a, b: stripped(F.split(F.get(after(a), F.lit(1)), b, 2)[0])
     number = F.col(cluster).cast("string")
     return df.withColumns(
         {
-            "summary": F.when(marked, part("Summary:", "Detailed Label:")).otherwise(F.substring(r, 1, 200)),
+            "summary": F.when(marked, stripped(F.replace(F.split(r, "Detailed Label:", 2)[0], F.lit("Summary:"), F.lit("")))).otherwise(F.substring(r, 1, 200)),
             "detailed": F.when(marked, part("Detailed Label:", "Short Label:")).otherwise(F.concat(F.lit("Narrative "), number)),
             "short": F.when(marked, stripped(F.get(after("Short Label:"), F.lit(1)))).otherwise(F.concat(F.lit("Cluster "), number)),
         }
@@ -59,16 +59,30 @@ def prompt_lines(df: DataFrame, line: Column, *order: Column | str) -> DataFrame
     return gathered.select(F.when(F.size("r") > 0, F.concat_ws("\n", "r.l")).otherwise("(none)").alias("lines"))
 
 
+def numbered_narratives(narratives: DataFrame, cluster: str = "Cluster") -> DataFrame:
+    """``narratives`` (one row per theme) with ``number``, from 1 in the order of the clusters."""
+    return narratives.withColumn("number", F.row_number().over(Window.orderBy(cluster)))
+
+
 def takeaways_prompt(narratives: DataFrame, volumes: DataFrame, by_volume: DataFrame, by_engagement: DataFrame, author_themes: DataFrame, timeline: DataFrame) -> str:
-    """The prompt from the sections' tables (a few rows each), in a fixed order."""
-    text = lambda *cs: F.concat_ws(": ", *(F.col(c).cast("string") for c in cs))
+    """The prompt from the sections' tables (a few rows each), in a fixed order.
+
+    Themes are numbered from 1; ``author_themes`` (author, Narrative, PostCount) gives each of its authors one line
+    with the themes they post in, so the caller decides how many authors a prompt can hold.
+    """
+    say = lambda *cs: F.concat(*(c if not isinstance(c, str) else F.lit(c) for c in cs))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c != "Narrative" else F.coalesce("Narrative", F.concat(F.lit("Cluster "), F.col("Cluster").cast("string")))
+    told = numbered_narratives(narratives)
+    known = author_themes.where("PostCount > 0").groupBy("author").agg(
+        F.sum("PostCount").alias("all"), F.sort_array(F.collect_list(F.struct((-F.col("PostCount")).alias("o"), "Narrative", say(text("Narrative"), ": ", text("PostCount")).alias("l")))).alias("t")
+    )
     sections = {
-        "Narratives": prompt_lines(narratives, text("Cluster", "summary"), "Cluster"),
-        "Volumes": prompt_lines(volumes, text("Cluster", "Volume"), -F.col("Volume"), "Cluster"),
-        "Top posters by volume": prompt_lines(by_volume, text("display_label", "Volume"), -F.col("Volume"), "author"),
-        "Top posters by engagement": prompt_lines(by_engagement, text("display_label", "Engagement"), -F.col("Engagement"), "author"),
-        "Authors by theme": prompt_lines(author_themes.where("PostCount > 0"), text("Narrative", "author", "PostCount"), "Narrative", -F.col("PostCount"), "author"),
-        "Timeline": prompt_lines(timeline, F.concat_ws(": ", F.date_format("Date", "yyyy-MM-dd"), F.col("Cluster").cast("string"), F.col("Volume").cast("string")), "Date", "Cluster"),
+        "Narratives": prompt_lines(told, say("Narrative ", text("number"), " (", text("Narrative") if "Narrative" in told.columns else say("Cluster ", text("Cluster")), "): ", text("summary")), "number"),
+        "Volumes": prompt_lines(volumes, say(text("Narrative"), ": ", text("Volume"), " posts"), -F.col("Volume"), "Cluster"),
+        "Top posters by volume": prompt_lines(by_volume, say(text("display_label"), ": ", text("Volume"), " posts"), -F.col("Volume"), "author"),
+        "Top posters by engagement": prompt_lines(by_engagement, say(text("display_label"), ": ", text("Engagement"), " engagement"), -F.col("Engagement"), "author"),
+        "Authors by theme": prompt_lines(known, say(text("author"), ": ", F.concat_ws(", ", "t.l")), -F.col("all"), "author"),
+        "Timeline": prompt_lines(timeline, say(text("Narrative"), ": ", text("Volume"), " posts on ", F.date_format("Date", "yyyy-MM-dd")), "Date", "Cluster"),
     }
     body = "\n\n".join(f"{name}:\n{df.first()['lines']}" for name, df in sections.items())
     return "Give 3 to 5 takeaways, each a line beginning with a dash and under 50 words.\n\n" + body

@@ -73,7 +73,8 @@ def first_of_equals(df: DataFrame, order: str | None = None, keys: tuple[str, ..
 def renumbered(df: DataFrame, order: str, out: str = "row_id") -> DataFrame:
     """``df`` with ``out`` = 0..n-1 in the order of a unique column: ranges are sorted in parallel, then offset."""
     inner, base = "__hw_pos", "__hw_part"
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn(base, F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that no use of it is coalesced another way
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn(base, F.spark_partition_id())
     local = ranged.withColumn(inner, F.row_number().over(Window.partitionBy(base).orderBy(order)))
     sizes = local.groupBy(base).agg(F.count("*").alias("__hw_n"))
     before = F.sum("__hw_n").over(Window.orderBy(base)) - F.col("__hw_n")  # one row per partition

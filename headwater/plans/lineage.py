@@ -1,19 +1,25 @@
 """Cutting lineage and staging tables so that a lost executor never loses work.
 
-Everything goes to the shared folder the session names in ``spark.checkpoint.dir``; only when a session
-names none (tests, a laptop) is a local folder chosen.
+Everything goes to the shared folder the session names in ``spark.checkpoint.dir``; only a session in local mode
+(tests, a laptop) may do without one and gets a local folder. Staged tables are deleted when the
+program ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh local one if (and only if) the session has none."""
+    """The session's checkpoint folder; in local mode a fresh local one if the session names none, elsewhere an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -23,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="headwater-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -58,4 +66,17 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _staged:
+        atexit.register(_delete_staged)
+    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_staged() -> None:
+    """Deletes the staged tables of sessions that still run (a stopped one has no file system to ask)."""
+    for spark, path in _staged:
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001 - the session, its JVM or its folder may be gone by now
+            continue

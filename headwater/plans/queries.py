@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from headwater.functions import text as X
 from headwater.operators import clusters, dedup, kwic, narration, normalize, providers, terms, volumes
 from headwater.operators.timestamps import EXACT, normalize_timestamps
-from headwater.plans.lineage import cut, spread
+from headwater.plans.lineage import cut, spread, stage
 from headwater.sources.sinks import peak
 from headwater.sources.tables import table
 
@@ -274,8 +274,8 @@ def dup_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    rows = _vectors(spark, d).select("row_id", "Cluster", F.lit("").alias("Title"), F.lit("").alias("Snippet"))
-    return dedup.deduplicated(rows, _similar(spark, d))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("Title"), F.col("text").alias("Snippet"))
+    return dedup.deduplicated(_vectors(spark, d).join(texts, "row_id", "left"), _similar(spark, d))
 
 
 def deduplicated(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +296,7 @@ def projection(spark: SparkSession, d: str) -> DataFrame:
 
 def _embedded(spark: SparkSession, d: str) -> DataFrame:
     df = spread(clustered(spark, d).select("row_id", "Title", "Snippet", "Cluster"))
-    return df.withColumn("embedding", providers.embedded(X.embedding_text(F.col("Title"), F.col("Snippet"))))
+    return stage(df.withColumn("embedding", providers.embedded(X.embedding_text(F.col("Title"), F.col("Snippet")))))  # embedded once, read several times
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +310,7 @@ def _post_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar_posts(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.similar_in_blocks(dedup.eligible(_post_vectors(spark, d)), "row_id", "embedding")
+    return dedup.similar_vectors(dedup.eligible(_post_vectors(spark, d)), "row_id", "embedding")
 
 
 def near_dup_posts(spark: SparkSession, d: str) -> DataFrame:
@@ -361,9 +361,12 @@ def takeaways(spark: SparkSession, d: str) -> DataFrame:
 def _takeaways(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     named = names(df)
-    told = named.select("Cluster", F.col("Narrative").alias("summary"))
+    told = named.withColumn("summary", F.concat(F.lit("about "), "Narrative"))
+    by_volume = volumes.top_posters(df)
+    authors = df.join(F.broadcast(by_volume.select("author").distinct()), "author")  # ten rows: the authors a prompt can hold
+    counts = authors.groupBy("author", "Cluster").agg(F.count("*").alias("PostCount")).join(named, "Cluster", "left")
     prompt = narration.takeaways_prompt(
-        told, volumes.narrative_volumes(df, named), volumes.top_posters(df), volumes.top_posters(df, "Engagement"), volumes.authors_by_theme(df, named), volumes.timeline(df)
+        told, volumes.narrative_volumes(df, named), by_volume, volumes.top_posters(df, "Engagement"), counts, volumes.timeline(df, names=named)
     )
     reply = narration.ask(lambda p: "\n".join("- " + section.split("\n")[1] for section in p.split("\n\n")[1:]), prompt)
     bullets = spark.createDataFrame([(reply,)], "reply string").select(F.explode(narration.parse_bullets(F.col("reply"))).alias("takeaway"))
@@ -460,7 +463,8 @@ pairs as (select a.id as i, b.id as j, list_dot_product(a.e, b.e) as similarity
 both_ways as (select i as a, j as b from pairs union select j, i from pairs),
 reach as (select a as node, a as other from both_ways union select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a),
 comp as (select node, min(other) as component from reach group by node),
-kept as (select vec_id, label from embeddings left join comp on vec_id = node where component is null or component = node)"""
+kept as (select vec_id, label from embeddings left join comp on vec_id = node left join documents on vec_id = doc_id
+  qualify component is null or row_number() over (partition by component order by length(concat_ws(' ', coalesce(source, ''), coalesce(text, ''))) desc, vec_id) = 1)"""
 
 
 def oracle_sql() -> dict[str, str]:

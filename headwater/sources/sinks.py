@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,3 +25,13 @@ def chart_feed(df: DataFrame, value: str, *ties: str, limit: int | None = None)
 def peak(df: DataFrame, value: str, *ties: str) -> DataFrame:
     """The one row with the largest value; of several the first by the given columns."""
     return chart_feed(df, value, *ties, limit=1)
+
+
+def bar_label(value: Column) -> Column:
+    """The whole number on a bar: rounded, a half to the even one."""
+    return F.bround(value, 0).cast("long")
+
+
+def peak_label(value: Column) -> Column:
+    """The whole number on the mark of a peak: without its fraction."""
+    return value.cast("long")

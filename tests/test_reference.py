@@ -65,7 +65,7 @@ def test_dates_and_buckets(spark):
 @pytest.mark.parametrize(
     "raw",
     [
-        "Title,Snippet,URL\nOne,\"a, \"\"b\"\"\nc\",u\nNA,x,\nlong,y,z,more\nshort\n".encode(),
+        "Title,Snippet,URL\nOne,\"a, \"\"b\"\"\nc\",u\nNA,x,\nlong,y,z,more\nlong,y,z,\nshort\n".encode(),
         b"\xef\xbb\xbf" + "Title\tSnippet\tURL\nOne\tä\tu\n".encode(),
         "Title\tSnippet\nOne\tä\n".encode("utf-16"),
         "Title;Snippet\nOne;ä\n".encode("latin-1"),
@@ -87,6 +87,26 @@ def test_sniffing():
     assert sniff("headline\nx\n".encode()).columns == ("headline",)
 
 
+def test_the_dialect_is_that_of_the_whole_file(spark, tmp_path, monkeypatch):
+    from headwater.sources import delimited
+
+    monkeypatch.setattr(delimited, "HEAD", 64)
+    monkeypatch.setattr(delimited.first_bytes, "__defaults__", (64,))
+    path = tmp_path / "late.csv"
+    path.write_bytes(("Title,Snippet\n" + "plain,text\n" * 50 + "caf\u00e9,ol\u00e9\n").encode("latin-1"))
+    assert delimited.sniff_all(spark, str(path)) == delimited.Dialect("ISO-8859-1", ",", ("Title", "Snippet"), False)
+    assert {r.Title for r in delimited.read_delimited(spark, str(path)).collect()} == {"plain", "caf\u00e9"}
+    path.write_bytes(("Title\n" + "a\tb\n" * 3).encode())
+    assert delimited.sniff_all(spark, str(path)).separator == "\t"
+
+
+def test_chart_labels(spark):
+    from headwater.sources.sinks import bar_label, peak_label
+
+    df = spark.createDataFrame([(0.5,), (1.5,), (2.7,), (None,)], "x double")
+    assert [(r.a, r.b) for r in df.select(bar_label(F.col("x")).alias("a"), peak_label(F.col("x")).alias("b")).collect()] == [(0, 0), (2, 1), (3, 2), (None, None)]
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([("h", "t", "o", "p", "1.5", "2025-01-02")], "Headline string, title string, `Opening Text` string, `Parent URL` string, Likes string, Date string")
     a, b = normalize.normalize_posts(df).first(), normalize.normalize_posts(df, "export").first()
@@ -118,6 +138,13 @@ def test_kwic(spark):
     assert co == {"beta": 2, "gamma": 2}
 
 
+def test_tfidf_in_rows_and_by_join(spark):
+    rows = [(k % 7, k % 3, f"alpha{k % 5} beta{k % 4} gamma", f"delta{k % 6} alpha{k % 2}") for k in range(60)]  # ids repeat
+    df = terms.ensure_text(posts(spark, rows))
+    first, second = ({(r.Cluster, r.term): round(r.score, 9) for r in terms.tfidf_scores(df, listed=n).collect()} for n in (10**6, 0))
+    assert first == second and len(first) > 20
+
+
 def test_tfidf_small_clusters(spark):
     df = terms.ensure_text(posts(spark, [(1, 0, "apple pie", ""), (2, 0, "apple tart", ""), (3, 1, "the of", "")]))
     got = {r.Cluster: r.TopTerms for r in terms.cluster_terms(df).collect()}
@@ -145,7 +172,7 @@ def test_similar_vectors_are_all_found(spark):
     df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "row_id long, embedding array<float>")
     u = v / np.where(np.linalg.norm(v, axis=1) > 0, np.linalg.norm(v, axis=1), 1)[:, None]
     want = {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if u[i] @ u[j] >= 0.8}
-    assert {(r.i, r.j) for r in dedup.similar_vectors(df, "row_id", "embedding", 0.8, pivots=7).collect()} == want and want
+    assert {(r.i, r.j) for r in dedup.similar_vectors(df, "row_id", "embedding", 0.8, block=50).collect()} == want and want
 
 
 @pytest.fixture(scope="module")
@@ -176,7 +203,7 @@ def test_near_duplicate_posts_equal_brute_force(spark, small_posts, monkeypatch,
     from headwater.plans import queries
 
     d, rows = small_posts
-    monkeypatch.setattr(dedup.similar_in_blocks, "__defaults__", (0.90, block))
+    monkeypatch.setattr(dedup.similar_vectors, "__defaults__", (0.90, block))
     v = np.array(providers.HashingEmbedder()([f"{t or ''}. {s or ''}" for t, s in rows]))
     length = [len(f"{t or ''} {s or ''}") for t, s in rows]
     norm = np.linalg.norm(v, axis=1)
@@ -250,6 +277,8 @@ def test_summary_median_and_errors(spark):
 def test_narration(spark):
     df = spark.createDataFrame([(1, "Summary: a Detailed Label: b Short Label: c"), (2, "nothing"), (3, None)], "Cluster int, reply string")
     assert [(r.summary, r.detailed, r.short) for r in narration.parse_summary(df).orderBy("Cluster").collect()] == [("a", "b", "c"), ("nothing", "Narrative 2", "Cluster 2"), ("", "Narrative 3", "Cluster 3")]
+    bare = spark.createDataFrame([(1, "Power is back. Detailed Label: Crews restored power Short Label: Power Back")], "Cluster int, reply string")
+    assert [(r.summary, r.detailed, r.short) for r in narration.parse_summary(bare).collect()] == [("Power is back.", "Crews restored power", "Power Back")]
     assert one(spark, narration.parse_bullets(F.col("t")), t="x\n  - a\n-b") == ["- a", "-b"]
     assert one(spark, narration.parse_bullets(F.col("t")), t="x") == [narration.NO_BULLETS]
     calls, waits = [], []
