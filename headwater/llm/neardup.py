@@ -32,6 +32,7 @@ from headwater.plans.lineage import cut, spread, stage
 
 SLOTS = 1 << 20  # of the frequency table; words are hashed into it, so its size is fixed
 HOT = 3000  # expected members of a bucket beyond which its signature takes another word
+SIGNATURES, PART = 30, 16 << 20  # what a record takes about, and bytes of entries a task should read at once
 LONG = 300  # distinct words from which prefixes are too long to enumerate subsets of
 ENTRY = np.dtype([("sig", "<u4"), ("b1", "<u8"), ("b2", "<u8"), ("x", "<u4"), ("n", "<u4")])
 _known: dict[str, int] = {}
@@ -219,7 +220,8 @@ def similar_sets(df: DataFrame, key: str, fields: list[str], threshold: float =
     counts[found.id.to_numpy()] = found.c.clip(upper=2**31 - 1).to_numpy()
     total = max(members.count(), 1)
     table = spark.sparkContext.broadcast(counts)  # SLOTS * 4 bytes, whatever the data
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # how many parts the buckets are dealt to follows the data, so that what a task reads does not; the result is the same
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * SIGNATURES * ENTRY.itemsize // PART))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -253,7 +255,7 @@ def similar_sets(df: DataFrame, key: str, fields: list[str], threshold: float =
         return pd.DataFrame(np.unique(ids, axis=0), columns=["b1", "b2", "x", "c1", "c2", "y"])
 
     blobs = _texts(df, key, fields).mapInPandas(sign, "part int, entries binary")
-    candidates = blobs.groupBy("part").applyInPandas(meet, "b1 long, b2 long, x long, c1 long, c2 long, y long")
+    candidates = blobs.repartition(parts, "part").groupBy("part").applyInPandas(meet, "b1 long, b2 long, x long, c1 long, c2 long, y long")
     candidates = stage(candidates.distinct())
 
     # the words of the sets that are candidates, from one record each

@@ -87,8 +87,32 @@ def test_survivors(spark):
         survivors.survivors(groups, posts, feeds, "none")
 
 
+def test_a_copied_majority_loses_and_the_chosen_value_is_the_likeliest(spark):
+    """Three feeds copy each other (they share what is false elsewhere); two independent ones agree on another text."""
+    t, rows, groups = (lambda k: datetime(2025, 1, 1 + k)), [], []
+    for g in range(60):
+        truth = f"the true text {g:03d}"
+        copied = f"a wrong text {g:03d}!"  # as long as the true one
+        for k, feed in enumerate("abcde"):
+            value = (copied if g % 3 else truth) if feed in "abc" else truth
+            rows.append((10 * g + k, "x", value, None, feed, t(0), 0))
+            groups.append((g, 10 * g + k))
+        if g % 3:  # elsewhere the copies are alone with their value against many
+            for k, feed in enumerate("fghi"):
+                rows.append((10 * g + 5 + k, "x", truth if g > 1 else f"another {g:03d}{k} xxxx", None, feed, t(0), 0))
+                groups.append((g, 10 * g + 5 + k))
+    posts = spark.createDataFrame(rows, POSTS)
+    frame = spark.createDataFrame(groups, "DupGroupID int, Index long")
+    feeds = spark.createDataFrame([(f, 1) for f in "abcdefghi"], "feed string, trust_rank int")
+    text = {r[0]: r[2] for r in rows}
+    for prior in ("votes", "strict"):
+        got = {r.DupGroupID: r for r in survivors.survivors(frame, posts, feeds, prior).collect()}
+        assert text[got[1].snippet_row_id].startswith("the true")  # three votes of copies against two
+        assert all(1 / 6 < r.snippet_posterior <= 1.0 and r.url_row_id == -1 and r.url_posterior is None for r in got.values())
+
+
 def test_copies_are_discounted_and_false_values_reveal_copying():
-    n = survivors.SOURCES
+    n = 6
     accuracy, none, copying = np.full(n, 0.8), np.zeros((n, n)), np.zeros((n, n))
     copying[0, 1] = copying[1, 0] = copying[0, 2] = copying[2, 0] = copying[1, 2] = copying[2, 1] = 1.0
     s, v, ok = np.arange(5), np.array([7, 7, 7, 9, 9]), np.ones(5, dtype=bool)
