@@ -27,8 +27,10 @@ from headwater.plans.lineage import spread
 # fixed values: code pages that texts are read in by mistake, and those they are written in
 READ_IN = "cp1252 latin-1 mac_roman cp437 cp850 cp1250 cp1251 koi8-r cp866 mac_cyrillic iso8859-5 iso8859-2 cp852 iso8859-15 cp1254"
 WRITTEN_IN = "cp1251 koi8-r cp866 iso8859-5 mac_cyrillic"  # single-byte pages told apart by their letters
+EAST_ASIAN = "shift_jis gbk euc_kr euc_jp"  # multi-byte pages, told apart by what they may hold
 LATIN_LETTERS = "áéíóúñäöüßàèùâêîôûçãõåëïÁÉÍÓÚÑÄÖÜÀÈÙÂÊÎÔÛÇÃÕÅËÏœŒæÆøØ"
-FREQUENT_CYRILLIC, USUAL_CYRILLIC, RARE_CYRILLIC = "оеаинтсрвлкмдпу", "яыьгзбчйхжшю", "цщэфъё"
+FREQUENT_CYRILLIC, USUAL_CYRILLIC, RARE_CYRILLIC = "оеаинтсрвлкмдпу", "яыьгзбчйхжшю", "цщэфъёіїєґўјљњћђџѓќѕ"
+CYRILLIC_VOWELS, CYRILLIC_SIGNS = frozenset("аеёиоуыэюяіїє"), frozenset("ъь")
 QUOTES, DASHES = "“”‘’„«»", "–—…"
 
 CANDIDATE = r"[^\x00-\x7F]|\?\?|\w\?\w|&#?\w{1,8};|\\u[0-9a-fA-F]{4}|(%[0-9A-Fa-f]{2}){2}"
@@ -39,14 +41,18 @@ PLAIN = re.escape(LATIN_LETTERS + FREQUENT_CYRILLIC + USUAL_CYRILLIC + RARE_CYRI
 )
 ODD = re.compile(
     rf"[^\x00-\x7f{PLAIN}]|[{LATIN_LETTERS}]{{3}}|[a-zß-ÿ][ÀÂÃÄÅÐÑ]|[ÃÂ][^\w\s]|(?<=[^\W\d_])[€£¡¿]|[€£](?=[^\W\d_])|[ÃÂ](?=[a-z\s]|$)"
-    rf"|(?<=[^\W\d_])[“”„–—…](?=[^\W\d_])|[а-яё][А-ЯЁ]|[A-Za-z][а-яёА-ЯЁ]|[а-яёА-ЯЁ][A-Za-z]"
+    rf"|(?<=[^\W\d_])[“”„–—…](?=[^\W\d_])|[а-яё][Ѐ-Я]|[A-Za-z][а-яёА-ЯЁ]|[а-яёА-ЯЁ][A-Za-z]"
 )
 ESCAPED = re.compile(r"&#?\w{1,8};|\\u[0-9a-fA-F]{4}|(?:%[0-9A-Fa-f]{2}){2}")
 CYRILLIC = re.compile("[Ѐ-ӿ]")
 WORDS = re.compile(r"[^ \t\n\r]*[^\x00-\x7f \t\n\r][^ \t\n\r]*")
 STRIPPED = re.compile("Ã(?= |$)")  # its no-break space was taken for a space and lost
 MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-EXPANSIONS, DEPTH, MARGIN, PLAUSIBLE, STEP = 8, 3, 1.0, 0.75, 0.05
+EAST_RUN = re.compile("[^\x00-\x7f]{3}")
+EAST_TEXT = re.compile("[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3\u3000-\u303f\uff00-\uff9f]+")
+# a sign of three bytes of which only the first is left: a quotation mark, an apostrophe or a dash
+LEFT_OVER = re.compile(r"(?<!\w)â(?=[A-ZÀ-ÞА-ЯЁ]|\W|$)|(?<=[^\W\d_])â(?=s\b)|(?<=\w)â(?!\w)")
+MARGIN, PLAUSIBLE, STEP, FURTHER = 1.0, 0.75, 0.05, 0.7
 
 
 @lru_cache(maxsize=None)
@@ -82,6 +88,8 @@ def _char_cost(c: str) -> float:
         return 1.0
     if 0x2200 <= o <= 0x25FF or 0x2190 <= o < 0x2200:
         return 4.0
+    if 0x3040 <= o <= 0x30FF or 0xAC00 <= o <= 0xD7A3:
+        return 0.5
     if 0x3040 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or o >= 0x1F300:
         return 0.8
     if c.isalpha():
@@ -94,6 +102,8 @@ def word_cost(word: str) -> float:
     """Implausibility of one word: rare characters, and characters in places where they do not stand."""
     cost, before, run, latin, cyrillic = 0.0, "", 0, False, False
     n = len(word)
+    if "â" in word:
+        cost += 2.5 * len(LEFT_OVER.findall(word))
     for k, c in enumerate(word):
         if c < "\x80":
             latin |= c.isalpha()
@@ -125,7 +135,32 @@ def word_cost(word: str) -> float:
             elif left or right:
                 cost += 1.5
         before = c
-    return cost + 3.0 * (latin and cyrillic)
+    return cost + 3.0 * (latin and cyrillic) + (_cyrillic_cost(word.lower()) if cyrillic else 0.0)
+
+
+def _cyrillic_cost(word: str) -> float:
+    """How little a lower-case word is built like one of a Slavic language: signs, vowels and consonants out of place."""
+    cost, vowels, consonants, before = 0.0, 0, 0, ""
+    any_vowel = letters = 0
+    for c in word:
+        if not "Ѐ" <= c <= "ӿ":
+            vowels, consonants, before = 0, 0, ""
+            continue
+        letters += 1
+        if c in CYRILLIC_SIGNS:
+            cost += 1.5 * (not before or before in CYRILLIC_VOWELS or before in CYRILLIC_SIGNS)
+            vowels = consonants = 0
+        elif c in CYRILLIC_VOWELS:
+            cost += 1.5 * (c == "ы" and not before)
+            vowels, consonants = vowels + 1, 0
+            cost += 0.7 * (vowels > 2)
+            any_vowel += 1
+        else:
+            cost += 1.5 * (c == "й" and before != "" and before not in CYRILLIC_VOWELS)
+            vowels, consonants = 0, consonants + 1
+            cost += 1.0 * (consonants > 4)
+        before = c
+    return cost + 2.0 * (letters > 2 and not any_vowel)
 
 
 @lru_cache(maxsize=65536)
@@ -179,6 +214,32 @@ def _reread(word: str, read: str, written: str) -> str:
     return "".join(out)
 
 
+def _east_asian(word: str, read: str, written: str) -> str:
+    """The word's bytes in the page read as a multi-byte page; unchanged unless they then are East Asian text."""
+    to_byte = _page(read)[0]
+    raw = [to_byte.get(ord(c)) for c in word]
+    if None in raw or 2 * sum(c >= "\x80" for c in word) < len(word):
+        return word
+    try:
+        out = bytes(raw).decode(written)
+    except UnicodeDecodeError:
+        return word
+    east = "".join(c for c in out if c >= "\x80")
+    return out if len(east) > 1 and EAST_TEXT.fullmatch(east) and not any(c.isalnum() and c < "\x80" for c in out) else word
+
+
+def _refill(word: str) -> str:
+    """The word with the signs of which only the first byte's character is left."""
+
+    def sign(m: re.Match) -> str:
+        before, after = word[: m.start()][-1:], word[m.end() :][:1]
+        if before.isalnum():
+            return "’" if after == "s" else "”"
+        return "“" if after.isalnum() else "–"
+
+    return LEFT_OVER.sub(sign, word)
+
+
 def unescape(text: str) -> str:
     text = html.unescape(text)
     text = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), text)
@@ -190,6 +251,12 @@ def _next(state: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], str, bool]]
     for page in READ_IN.split():
         yield tuple(_utf8(w, page) for w in state), f"{page}>utf-8", True
     yield tuple(unescape(w) for w in state), "unescape", True
+    if any("â" in w for w in state):
+        yield tuple(_refill(w) for w in state), "refill", True
+    if any(EAST_RUN.search(w) for w in state):
+        for written in EAST_ASIAN.split():
+            for page in READ_IN.split():
+                yield tuple(_east_asian(w, page, written) for w in state), f"{page}>{written}", False
     for written in WRITTEN_IN.split():
         for read in READ_IN.split():
             if read != written:
@@ -205,12 +272,10 @@ def search(words: tuple[str, ...]) -> tuple[float, float, tuple[str, ...], str]:
     start, good = cost(words), PLAUSIBLE * len(words)
     best, best_words, best_path = start, words, ""
     queue, seen, order = [(start, 0, 0, words, "")], {hash(words)}, 0
-    for _ in range(EXPANSIONS):
-        if not queue:
-            break
+    while queue:  # every step but the first must take a good part of the cost away, so the search ends
         reached, _, depth, state, path = heapq.heappop(queue)
-        if depth >= DEPTH or (depth and reached > best):
-            continue
+        if depth and reached > best:
+            break
         for new, how, certain in _next(state):
             if not certain and best <= good:
                 break
@@ -220,6 +285,8 @@ def search(words: tuple[str, ...]) -> tuple[float, float, tuple[str, ...], str]:
             order += 1
             c = cost(new) + STEP * (depth + 1) + 0.001 * order
             step = f"{path} {how}".strip()
+            if depth and c > FURTHER * reached:
+                continue
             if c < best:
                 best, best_words, best_path = c, new, step
             if c < reached:
@@ -233,7 +300,7 @@ def analyse(text: str | None) -> tuple[bool, str | None, float, float, str]:
     """(garbled, best text, cost before, cost after, path). Null and empty texts are not garbled."""
     if not text:
         return False, text, 0.0, 0.0, ""
-    lost = bool(LOST.search(text)) or len(LOST_WORDS.findall(text)) >= 2
+    lost = bool(LOST.search(text)) or len(LOST_WORDS.findall(text)) >= 2 or ("â" in text and LEFT_OVER.search(text) is not None)
     odd = ODD.search(text) is not None
     escaped = ESCAPED.search(text) is not None
     if not (lost or odd or escaped):
