@@ -50,9 +50,10 @@ STRIPPED = re.compile("Ã(?= |$)")  # its no-break space was taken for a space a
 MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 EAST_RUN = re.compile("[^\x00-\x7f]{3}")
 EAST_TEXT = re.compile("[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3\u3000-\u303f\uff00-\uff9f]+")
+EAST_OWN = {"euc_kr": re.compile("[\uac00-\ud7a3]"), "euc_jp": re.compile("[\u3040-\u30ff]"), "shift_": re.compile("[\u3040-\u30ff]")}  # no text is without
 # a sign of three bytes of which only the first is left: a quotation mark, an apostrophe or a dash
 LEFT_OVER = re.compile(r"(?<!\w)â(?=[A-ZÀ-ÞА-ЯЁ]|\W|$)|(?<=[^\W\d_])â(?=s\b)|(?<=\w)â(?!\w)")
-MARGIN, PLAUSIBLE, STEP, FURTHER = 1.0, 0.75, 0.05, 0.7
+MARGIN, PLAUSIBLE, STEP, FURTHER, SLACK = 1.0, 0.75, 0.05, 0.7, 1.0
 
 
 @lru_cache(maxsize=None)
@@ -100,7 +101,7 @@ def _char_cost(c: str) -> float:
 @lru_cache(maxsize=65536)
 def word_cost(word: str) -> float:
     """Implausibility of one word: rare characters, and characters in places where they do not stand."""
-    cost, before, run, latin, cyrillic = 0.0, "", 0, False, False
+    cost, before, run, latin, cyrillic, east = 0.0, "", 0, False, False, False
     n = len(word)
     if "â" in word:
         cost += 2.5 * len(LEFT_OVER.findall(word))
@@ -112,6 +113,7 @@ def word_cost(word: str) -> float:
         cost += _char_cost(c)
         after = word[k + 1] if k + 1 < n else ""
         if c.isalpha():
+            east |= c >= "\u0530" and not "\u1e00" <= c <= "\u1eff"
             is_cyrillic = "Ѐ" <= c <= "ӿ"
             cyrillic |= is_cyrillic
             latin |= not is_cyrillic and c < "ɐ"
@@ -135,7 +137,7 @@ def word_cost(word: str) -> float:
             elif left or right:
                 cost += 1.5
         before = c
-    return cost + 3.0 * (latin and cyrillic) + (_cyrillic_cost(word.lower()) if cyrillic else 0.0)
+    return cost + 3.0 * (cyrillic and (latin or east)) + (_cyrillic_cost(word.lower()) if cyrillic else 0.0)
 
 
 def _cyrillic_cost(word: str) -> float:
@@ -225,7 +227,8 @@ def _east_asian(word: str, read: str, written: str) -> str:
     except UnicodeDecodeError:
         return word
     east = "".join(c for c in out if c >= "\x80")
-    return out if len(east) > 1 and EAST_TEXT.fullmatch(east) and not any(c.isalnum() and c < "\x80" for c in out) else word
+    own = len(east) > 3 if written == "gbk" else len(east) > 1 and (EAST_OWN[written[:6]].search(east) is not None)
+    return out if own and EAST_TEXT.fullmatch(east) and not any(c.isalnum() and c < "\x80" for c in out) else word
 
 
 def _refill(word: str) -> str:
@@ -272,9 +275,9 @@ def search(words: tuple[str, ...]) -> tuple[float, float, tuple[str, ...], str]:
     start, good = cost(words), PLAUSIBLE * len(words)
     best, best_words, best_path = start, words, ""
     queue, seen, order = [(start, 0, 0, words, "")], {hash(words)}, 0
-    while queue:  # every step but the first must take a good part of the cost away, so the search ends
+    while queue:  # states far from the best are left, and every step but the first must take a good part of the cost away, so it ends
         reached, _, depth, state, path = heapq.heappop(queue)
-        if depth and reached > best:
+        if depth and reached > SLACK * best:
             break
         for new, how, certain in _next(state):
             if not certain and best <= good:
