@@ -22,6 +22,11 @@ from pyspark.sql import functions as F
 # fixed values: letters of other scripts that look like a Latin one
 CYRILLIC_LOOK = dict(zip("АВЕЅІЈКМНОРСТУХаеіјѕорсухԁԛԝһ", "ABESIJKMHOPCTYXaeijsopcyxdqwh", strict=True))
 GREEK_LOOK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιαυκρ", "ABEZHIKMNOPTYXoviaukp", strict=True))
+CYRILLIC_LOOK |= {"\u04c0": "I", "\u04cf": "l"}
+GREEK_LOOK |= {"\u03f2": "c", "\u03f9": "C"}
+ARMENIAN_LOOK = dict(zip("օսհՕՍՏԼ", "ouhOUSL", strict=True))
+LISU_LOOK = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True))
+LATIN_LOOK = {"\u0261": "g", "\u0251": "a"}  # script g and alpha
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 INVISIBLE = (
     "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮"
@@ -32,17 +37,19 @@ FRENCH_AFTER, KEYS = tuple(";:!?»%€"), tuple("#*0123456789")
 EAST_ASIAN = ("ja", "zh", "ko")
 CYRILLIC_LANGS = ("ru", "uk", "bg", "sr", "be", "mk")
 
-EMOJI = "[\u2190-\u21ff\u2300-\u23ff\u2460-\u24ff\u25a0-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff\u00a9\u00ae\u2122\u203c\u2049\u2139]"
+EMOJI_BLOCKS = "[\u2190-\u21ff\u2300-\u23ff\u2460-\u24ff\u25a0-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff\u00a9\u00ae\u2122\u203c\u2049\u2139]"
+JOINERS, JOINING = "\u200c\u200d", re.compile("[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\u0900-\u0dff]")  # scripts whose spelling needs joiners
 MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿゙゚"
 # what can need the transducer at all
 SPECIAL = (
     "[ ­̀-ͯͰ-ϿЀ-ԯ؜ᅟᅠ ឴឵᠎᪰-᫿"
     "ᴀ-ᵿ᷀-᷿ -‏‪-  -⁤⁦-⁩⃐-⃿℀-⅏"
-    "⒜-ⓩ　゙゚ㅤﬀ-ﬆ︀-️﻿！-￦"
+    "\u0250-\u02af\u0530-\u058f\u2150-\u2188\u2460-\u24ff\ua4d0-\ua4ff\uf900-\ufaff　゙゚ㅤﬀ-ﬆ︀-️﻿！-￦"
     "\U0001d400-\U0001d7ff\U0001f100-\U0001f189]"
 )
 
 
+EMOJI_LETTERS = frozenset("\u24c2\U0001f170\U0001f171\U0001f17e\U0001f17f\U0001f18e\u2139\u2122")  # letters in signs that are emoji
 SPECIAL_RE, MARKS_RE = re.compile(SPECIAL), re.compile(f"[{MARKS}]")
 
 
@@ -58,26 +65,34 @@ def _class(chars: Iterable[str]) -> str:
 
 
 def _styled() -> dict[str, str]:
-    """Letters and digits in other widths and styles, from their compatibility decompositions."""
+    """Letters and digits in other widths, styles and compositions, from the Unicode tables: decompositions and names."""
     out = {}
-    blocks = [(0xFF01, 0xFFE7), (0x1D400, 0x1D800), (0x2100, 0x2150), (0x249C, 0x24EA), (0x1F100, 0x1F18A)]
+    blocks = [(0x250, 0x2B0), (0x1D00, 0x1D2C), (0xFF01, 0xFFE7), (0x1D400, 0x1D800), (0x2100, 0x2189), (0x2460, 0x2500), (0xF900, 0xFB00), (0x1F100, 0x1F18A)]
     for a, b in blocks:
         for o in range(a, b):
             c = chr(o)
-            kind = unicodedata.decomposition(c).split(">")[0].lstrip("<")
-            plain = unicodedata.normalize("NFKC", c)
-            wide = kind in ("wide", "narrow") and len(plain) == 1
-            if c in INVISIBLE or (kind == "compat"):
+            if c in INVISIBLE or c in EMOJI_LETTERS:
                 continue
-            if wide or kind in ("font", "circle", "square") and len(plain) == 1 and plain.isalnum():
+            kind, name = unicodedata.decomposition(c).split(">")[0].lstrip("<"), unicodedata.name(c, "")
+            plain = unicodedata.normalize("NFKC", c)
+            small = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", name)
+            if small:
+                out[c] = small[1].lower()
+            elif kind in ("wide", "narrow") and len(plain) == 1:
+                out[c] = plain
+            elif kind in ("font", "circle", "square") and plain.isalnum() and len(plain) < 3:
                 out[c] = plain
+            elif kind == "compat" and "ROMAN NUMERAL" in name:
+                out[c] = plain
+            elif unicodedata.normalize("NFC", c) != c:  # one character composed of one other
+                out[c] = unicodedata.normalize("NFC", c)
     return out
 
 
 @lru_cache(maxsize=None)
 def mapping() -> dict[str, str]:
     """Character to replacement, wherever it stands; raises if two rules contradict each other."""
-    rules = [_styled(), LIGATURES, {c: "" for c in INVISIBLE}, {c: " " for c in SPACES}]
+    rules = [_styled(), LATIN_LOOK, LIGATURES, {c: "" for c in INVISIBLE}, {c: " " for c in SPACES}]
     out: dict[str, str] = {}
     for rule in rules:
         for c, to in rule.items():
@@ -93,10 +108,21 @@ def mapping() -> dict[str, str]:
 @lru_cache(maxsize=None)
 def look_mapping() -> dict[str, str]:
     """Look-alike letter to its Latin twin, applied only within words that are not of the letter's script."""
-    both = CYRILLIC_LOOK.keys() & GREEK_LOOK.keys()
-    if both:
-        raise ValueError(f"two outputs for {both}")
-    return CYRILLIC_LOOK | GREEK_LOOK
+    out: dict[str, str] = {}
+    for rule in (CYRILLIC_LOOK, GREEK_LOOK, ARMENIAN_LOOK, LISU_LOOK):
+        if both := out.keys() & rule.keys():
+            raise ValueError(f"two outputs for {both}")
+        out |= rule
+    return out
+
+
+def _emoji() -> str:
+    """The class of emoji and signs: their blocks without the characters the mapping replaces."""
+    chars = (chr(o) for a, b in re.findall("(.)(?:-(.))?", EMOJI_BLOCKS[1:-1]) for o in range(ord(a), ord(b or a) + 1))
+    return f"[{_class(c for c in chars if c not in mapping())}]"
+
+
+EMOJI = _emoji()
 
 
 @lru_cache(maxsize=None)
@@ -105,7 +131,7 @@ def _transducer(lang: str, marks: bool) -> tuple[re.Pattern, dict]:
     table = dict(mapping())
     if lang in EAST_ASIAN:
         # the widths usual there: full-width punctuation and letters, the ideographic space, half-width kana
-        for o in range(0xFF01, 0xFFE7):
+        for o in (*range(0xFF01, 0xFFE7), *range(0x2460, 0x249C)):
             table.pop(chr(o), None)
         table.pop("　")
     if lang == "fr":
@@ -130,7 +156,8 @@ def _runs(lang: str) -> re.Pattern:
 
 EMOJI_RE = re.compile(EMOJI)
 WORD = re.compile(r"[^\W\d_]+")
-LOOKS = re.compile("[" + "".join(CYRILLIC_LOOK) + "".join(GREEK_LOOK) + "]")
+LOOKS = re.compile("[" + "".join(look_mapping()) + "]")
+FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\ua4d0-\ua4ff]")
 LATIN, CYRILLIC, GREEK = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽ]")
 TO_CYRILLIC = {v: k for k, v in reversed(CYRILLIC_LOOK.items()) if k in "АВЕКМНОРСТУХаеорсух"}
 TO_CYRILLIC_RE = re.compile("[" + "".join(TO_CYRILLIC) + "]")
@@ -138,13 +165,13 @@ TO_CYRILLIC_RE = re.compile("[" + "".join(TO_CYRILLIC) + "]")
 
 def _word(word: str, lang: str) -> str:
     """A word whose letters come from several scripts, in the script it belongs to."""
-    foreign = len(CYRILLIC.findall(word)) + len(GREEK.findall(word))
+    foreign = len(FOREIGN.findall(word))
     if not foreign:
         return word
     latin = len(LATIN.findall(word))
     looks = len(LOOKS.findall(word))
     if not latin:
-        own = lang in CYRILLIC_LANGS or lang == "el"
+        own = lang in CYRILLIC_LANGS or lang in ("el", "hy", "lis")
         return word if own or looks < len(word) else LOOKS.sub(lambda m: look_mapping()[m.group()], word)
     if looks == foreign:  # every foreign letter has a Latin twin
         only_twins = TO_CYRILLIC_RE.sub("", word)
@@ -167,6 +194,8 @@ def transduce(text: str, lang: str | None = None) -> str:
 
     def replace(m: re.Match) -> str:
         if (one := m.group("one")) is not None:
+            if one.strip(JOINERS) == "" and JOINING.match(m.string[m.start() - 1 : m.start()]):
+                return one
             return "".join(table[c] for c in one)
         if (cluster := m.group("cluster")) is not None:
             parts = [table.get(c, c) for c in cluster]
@@ -184,10 +213,12 @@ def transduce(text: str, lang: str | None = None) -> str:
             return kept[m.start() - a : len(kept) - (len(whole) - (b - a))]
         if lang == "fr" and len(chars) == 1 and chars in "\u00a0\u202f" and (text[b : b + 1] in FRENCH_AFTER or text[a - 1 : a] == "«"):
             return chars
+        if chars.strip(JOINERS) == "" and JOINING.match(text[a - 1 : a]):
+            return chars
         return "".join(table[c] for c in chars)
 
     text = (pattern.sub(replace, text) if marks else _runs(lang).sub(run, text))
-    if lang in EAST_ASIAN or not (CYRILLIC.search(text) or GREEK.search(text)):
+    if lang in EAST_ASIAN or not FOREIGN.search(text):
         return text
     return WORD.sub(lambda m: _word(m.group(), lang), text)
 
