@@ -362,6 +362,22 @@ def test_small_themes_are_found_among_the_rest(spark):
     assert sorted(r["size"] for r in report) == [30, 300, 300, 300] and all(r.terms for r in report)
 
 
+# -- look-alikes by rule ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "text, lang, want",
+    [
+        ("\u24bd\u24d4\u24db\u24db\u24de", "en", "Hello"), ("\u2460\u2461", "en", "12"), ("\u2460", "ja", "\u2460"), ("300 \u212a \u212b", "en", "300 K \u00c5"),
+        ("\u029c\u1d07\u029f\u029f\u1d0f", "en", "hello"), ("\u2163", "en", "IV"), ("\u0261ood", "en", "good"), ("g\u0585od", "en", "good"), ("\ua4eert", "en", "Art"), ("\u03f2at", "en", "cat"),
+        ("\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", "fa", "\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645"), ("\u0915\u094d\u200d\u0937", "hi", "\u0915\u094d\u200d\u0937"), ("a\u200cb", "en", "ab"),
+        ("\u24c2\ufe0f \U0001f170", "en", "\u24c2\ufe0f \U0001f170"), ("\u00bd \u00b2\u20ac\u2122", "en", "\u00bd \u00b2\u20ac\u2122"),
+    ],
+)
+def test_styles_singletons_and_joiners(text, lang, want):
+    assert lookalikes.transduce(text, lang) == want and lookalikes.transduce(want, lang) == want
+
+
 # -- packing and mixing ------------------------------------------------------------------------------------------
 
 
