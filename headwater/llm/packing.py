@@ -5,21 +5,20 @@ Hilbert key, so that neighbours in the order are alike. Ranges of the curve are
 longest first within a window of neighbours, into containers that stay open along the curve while they have
 room. Only a document longer than a container is cut: into full containers and a rest that is packed.
 
-Scale: texts are read once and reduced to (id, tokens, key); only those are range-sorted. Ties of the key (a
-third of all texts alike) are ranged by id, so no range grows. Each range leaves a few containers part full.
+Scale: texts are read once and reduced to (id, tokens, key); only those are shuffled, once. Ranges of about ``RANGE``
+documents are cut along a histogram of the keys' first bits, so they are the same in every run; a cell of the histogram
+that holds more (a third of all texts alike) is dealt to its ranges by id. Each range leaves a few containers part full.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from functools import lru_cache
 from math import erf
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ from headwater.functions.tokens import token_count
 from headwater.plans.lineage import cut, spread
 
 CAPACITY, WINDOW, OPEN, RANGE = 1024, 512, 128, 20_000
-BUCKETS, DIMENSIONS, BITS = 4096, 3, 10
+BUCKETS, DIMENSIONS, BITS, CELL_BITS = 4096, 3, 10, 12
 
 
 @lru_cache(maxsize=1)
@@ -115,30 +114,33 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capac
 
     A document of at most ``capacity`` tokens is one piece; longer ones are cut into full containers and a
     rest. Null and empty texts are pieces of no tokens. Every row of ``df`` is a document, repeated ids too.
-    Containers are numbered by range of the curve; an empty table gives no rows.
+    Containers are numbered by range of the curve, alike in every run; an empty table gives no rows.
     """
     kind = df.schema[key].dataType.simpleString()
     body = F.col(text).cast("string")
     texts = spread(df.select(F.col(key).alias("id"), body.alias("t")))
     sized = cut(texts.select("id", token_count(F.col("t")).alias("tokens"), F.pandas_udf(curve_keys, "long")("t").alias("hilbert")))
-    ranges = max(1, -(-sized.count() // RANGE))
-    ordered = sized.repartitionByRange(ranges, "hilbert", "id").sortWithinPartitions("hilbert", "id", "tokens")
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = _Containers(TaskContext.get().partitionId() << 40, capacity)
-        for b in batches:
-            for a in range(0, len(b), WINDOW):
-                window = b.iloc[a : a + WINDOW]
-                rows, rests = [], []
-                for i, t in zip(window["id"], window["tokens"], strict=True):
-                    whole, rest = divmod(t, capacity)
-                    pieces = max(whole + (rest > 0), 1)
-                    rows += [(i, p, pieces, p * capacity, capacity, open_.fresh()) for p in range(whole)]
-                    if rest or not whole:
-                        rests.append((-rest, i, whole, pieces))
-                for size, i, p, pieces in sorted(rests):
-                    rows.append((i, p, pieces, p * capacity, -size, open_.place(-size)))
-                yield pd.DataFrame(rows, columns=["id", "piece", "pieces", "start", "tokens", "container"])
+    cell = F.shiftright("hilbert", DIMENSIONS * BITS - CELL_BITS).cast("int")
+    sizes = sized.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").toPandas()  # at most 2^CELL_BITS rows
+    starts = sized.sparkSession.createDataFrame(list(zip(sizes.cell.tolist(), (sizes.n.cumsum() - sizes.n).tolist(), sizes.n.tolist(), strict=True)), "cell int, start long, n long")
+    within = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53)
+    ranged = sized.withColumn("cell", cell).join(F.broadcast(starts), "cell").withColumn("range", F.floor((F.col("start") + within * F.col("n")) / RANGE).cast("int"))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["hilbert", "id", "tokens"], kind="stable")
+        open_ = _Containers(int(group["range"].iloc[0]) << 40, capacity)
+        rows = []
+        for a in range(0, len(group), WINDOW):
+            window, rests = group.iloc[a : a + WINDOW], []
+            for i, t in zip(window["id"], window["tokens"], strict=True):
+                whole, rest = divmod(t, capacity)
+                pieces = max(whole + (rest > 0), 1)
+                rows += [(i, p, pieces, p * capacity, capacity, open_.fresh()) for p in range(whole)]
+                if rest or not whole:
+                    rests.append((-rest, len(rests), i, whole, pieces))
+            for size, _, i, p, pieces in sorted(rests):
+                rows.append((i, p, pieces, p * capacity, -size, open_.place(-size)))
+        return pd.DataFrame(rows, columns=["id", "piece", "pieces", "start", "tokens", "container"])
 
     schema = f"id {kind}, piece int, pieces int, start long, tokens long, container long"
-    return ordered.mapInPandas(pack, schema).withColumnRenamed("id", key)
+    return ranged.select("id", "tokens", "hilbert", "range").groupBy("range").applyInPandas(pack, schema).withColumnRenamed("id", key)
