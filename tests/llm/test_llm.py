@@ -111,6 +111,33 @@ def test_a_copied_majority_loses_and_the_chosen_value_is_the_likeliest(spark):
         assert all(1 / 6 < r.snippet_posterior <= 1.0 and r.url_row_id == -1 and r.url_posterior is None for r in got.values())
 
 
+def test_votes_are_counted_only_where_the_contract_leaves_a_choice(spark, monkeypatch):
+    """Without equals no source is rated; with one group of equals the votes of that group alone are scored, and decide."""
+    t, asked, fuse = (lambda k: datetime(2025, 1, 1 + k)), [], survivors.fuse
+    monkeypatch.setattr(survivors, "fuse", lambda members, *of: asked.append(of) or fuse(members, *of))
+    rows, groups = [], []
+    for g in range(8):  # two feeds agree on a short text and a URL, the contract prefers those of the third
+        for k, feed in enumerate("abc"):
+            rows.append((10 * g + k, "x", f"text {g}" + " and more" * (feed == "c"), f"https://{min(feed, 'b')}.example/{g}", feed, t(k), 0))
+            groups.append((g, 10 * g + k))
+    feeds = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1), ("d", 2)], "feed string, trust_rank int")
+
+    def chosen():
+        members = spark.createDataFrame(groups, "DupGroupID int, Index long")
+        return {r.DupGroupID: tuple(r)[1:] for r in survivors.survivors(members, spark.createDataFrame(rows, POSTS), feeds).collect()}
+
+    alone = {g: (10 * g + 2, 1.0, 10 * g + 2, 1.0) for g in range(8)}
+    got = chosen()
+    assert not asked and got == alone
+    for k, (feed, value) in enumerate([("d", "B"), ("a", "A"), ("b", "A")]):  # without votes the smallest row_id
+        rows.append((90 + k, "x", f"equal {value}", f"https://{value}.example/9", feed, t(0), 0))
+        groups.append((9, 90 + k))
+    got = chosen()
+    snippet, likely, url, likely_url = got.pop(9)
+    assert got == alone and (snippet, url) == (91, 91) and 0.5 < likely < 1.0 and 0.5 < likely_url < 1.0
+    assert [sorted(map(tuple, of.collect())) for (of,) in asked] == [[(9, "snippet"), (9, "url")]]
+
+
 def test_copies_are_discounted_and_false_values_reveal_copying():
     n = 6
     accuracy, none, copying = np.full(n, 0.8), np.zeros((n, n)), np.zeros((n, n))
